@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rayscape.llm import bpe, embeddup, neardup, packing, secrets, substrings, topk
+from rayscape.llm import bpe, embeddup, neardup, packing, secrets, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_embeddup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.link(table(spark, sf_dir, "embeddings"))
 
