@@ -12,6 +12,8 @@ is the whole text's encoding itself.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,14 +40,48 @@ def tokenizer(path: str):
     return t
 
 
+LETTER, NUMBER, BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"  # of Latin-1, in lower case
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{BLANK}{LETTER}{NUMBER}]+")
+
+
+@lru_cache(maxsize=2)
+def merger(path: str):
+    """(a merger by ranks, ids by rank, token strings by id) for a tokenizer whose words end in ``</w>``; None if its merges can't be told by their results.
+
+    A word is its bytes and a zero byte, which joins the last one before anything else.
+    """
+    import tiktoken
+
+    model = json.loads(tokenizer(path).to_str())["model"]
+    vocab, end = model["vocab"], model["end_of_word_suffix"]
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+    back = {c: b for b, c in shown.items()}
+
+    def raw(token: str) -> bytes:
+        body = token.removesuffix(end)
+        return bytes(back[c] for c in body) + b"\0" * (body != token)
+
+    names = [shown[b] for b in range(256)] + [shown[b] + end for b in range(256)] + ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ranks = {raw(n): k for k, n in enumerate(names)}
+    if len(ranks) != len(names):
+        return None
+    strings = np.empty(max(vocab.values()) + 1, object)
+    strings[list(vocab.values())] = list(vocab)
+    return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}), np.array([vocab[n] for n in names], "<u4"), strings
+
+
 class WordMemo:
-    """Encodes texts by their blank-separated stretches, each encoded once while remembered.
+    """Encodes texts for tokenizers that drop white space, lower the case and let no token cross a word.
 
-    Only for tokenizers that drop white space and let no token cross it.
+    Latin-1 texts are cut into words here and merged by rank; all others go to the library by their
+    blank-separated stretches, each encoded once while remembered.
     """
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
+        self.merger = merger(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -55,6 +91,19 @@ class WordMemo:
             self.known[w] = np.asarray(e.ids, "<u4").tobytes(), self.tok.decode(e.ids, skip_special_tokens=False)
 
     def encode(self, text: str) -> tuple[bytes, str]:
+        if self.merger and "\0" not in text and not any(x in text for x in self.special):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.by_stretches(text)
+            merge, by_rank, strings = self.merger
+            if not (words := WORD.findall(text.lower())):
+                return b"", ""
+            ids = by_rank[merge.encode_ordinary("\0".join(words) + "\0")]
+            return ids.tobytes(), " ".join(strings[ids].tolist())
+        return self.by_stretches(text)
+
+    def by_stretches(self, text: str) -> tuple[bytes, str]:
         words = text.replace("\n", " ").split(" ")
         known = self.known
         if new := {w for w in words if w not in known}:
