@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rayscape.llm import bpe, embeddup, neardup, packing, quality, secrets, substrings, topk, toxicity
+from rayscape.llm import bpe, embeddup, neardup, packing, quality, secrets, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = warc.Archive.write(pages).read(pages)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_embeddup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.link(table(spark, sf_dir, "embeddings"))
 
@@ -67,5 +73,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+q as (select page_id, octet_length(body) as payload_bytes, sha256(body) as payload_digest,
+             min(page_id) over (partition by sha256(body)) as first from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": WARC_SQL}
