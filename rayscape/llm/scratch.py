@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -27,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> Iterator[None]:
-    """Bounds the Arrow batches of the jobs run inside, then restores the session."""
-    before = {k: spark.conf.get(k, None) for k in (ARROW_ROWS, ARROW_BYTES)}
-    spark.conf.set(ARROW_ROWS, str(rows))
-    spark.conf.set(ARROW_BYTES, size)
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Holds settings for the jobs run inside, then restores the session's own."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
@@ -39,6 +40,11 @@ def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> I
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> contextlib.AbstractContextManager[None]:
+    """Bounds the Arrow batches of the jobs run inside."""
+    return settings(spark, **{ARROW_ROWS: str(rows), ARROW_BYTES: size})
+
+
 class Scratch:
     """A folder of named Parquet tables for one run of one operator."""
 
@@ -50,7 +56,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        # a written table isn't computed again from its plan, so the plan's shuffle files can go at once
+        with settings(self.spark, **{SHUFFLE_CLEANUP: "true"}):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rayscape.llm.arrowio import slices, texts
 from rayscape.llm.hashing import U, batch_word_hashes, window_hashes
-from rayscape.llm.scratch import Scratch, arrow_batches, shuffle_width
+from rayscape.llm.scratch import Scratch, arrow_batches, release, shuffle_width
 
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)  # every difference modulo 21 is one of two members
@@ -238,8 +238,10 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
 
     with arrow_batches(spark, 8):
         seen = scratch.save(repeats(cut.select("block", "body").mapInArrow(first, OFFER), 1), "anchors")
+        release(spark)
         both = cut.select("block", "body").join(seen, "block", "inner")
         again = scratch.save(repeats(both.mapInArrow(second, OFFER), 2), "windows")
+        release(spark)
         every = cut.drop("words").join(seen, "block", "left").join(again.withColumnRenamed("marks", "marks2"), "block", "left")
         out = scratch.save(every.mapInArrow(third, f"__id {kind}, n_words bigint, n_removed bigint, kept string, kept_text string"), "kept")
     scratch.drop("blocks", "anchors", "windows")
