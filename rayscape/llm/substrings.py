@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rayscape.llm.arrowio import slices, texts
 from rayscape.llm.hashing import U, batch_word_hashes, window_hashes
-from rayscape.llm.scratch import Scratch, arrow_batches, release, shuffle_width
+from rayscape.llm.scratch import Scratch, arrow_batches, shuffle_width
 
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)  # every difference modulo 21 is one of two members
@@ -177,21 +177,24 @@ def marked(h: np.ndarray, marks: dict[int, bytes], n: int) -> np.ndarray:
     return hit[back]
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """Removes each word covered by a window whose words, in their order, also start anywhere else.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows are judged on the input. Returns per row: its
     id, ``n_words``, ``n_removed``, ``kept`` (kept words joined by one space; the text itself, byte for
     byte, in ``kept_text`` where nothing was removed, null if it was null). A null text has no words. Repeated rows are each other's
     copies and lose every full window; equal or null ids are no matter, and an empty table
-    gives no rows. Only the id and the text are read.
+    gives no rows. Only the id and the text are read, and the columns that ``keep`` names are carried along in place of the id.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(docs[id_column].alias("__id"), docs[text].alias("__text"))
+    if clash := {c.lower() for c in keep or []} & {"n_words", "n_removed", "kept", "kept_text"}:
+        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
+    carried = F.struct(*[docs[c] for c in keep if c != text], F.lit(0).alias("__none")) if keep else docs[id_column]
+    rows = docs.select(carried.alias("__id"), docs[text].alias("__text"))
+    kind = rows.schema["__id"].dataType.simpleString()
     with arrow_batches(spark):
         cut = scratch.save(blocks(rows, block_bytes), "blocks")
     words = cut.agg(F.sum("words")).first()[0] or 0
@@ -238,11 +241,11 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
 
     with arrow_batches(spark, 8):
         seen = scratch.save(repeats(cut.select("block", "body").mapInArrow(first, OFFER), 1), "anchors")
-        release(spark)
         both = cut.select("block", "body").join(seen, "block", "inner")
         again = scratch.save(repeats(both.mapInArrow(second, OFFER), 2), "windows")
-        release(spark)
         every = cut.drop("words").join(seen, "block", "left").join(again.withColumnRenamed("marks", "marks2"), "block", "left")
         out = scratch.save(every.mapInArrow(third, f"__id {kind}, n_words bigint, n_removed bigint, kept string, kept_text string"), "kept")
     scratch.drop("blocks", "anchors", "windows")
+    if keep:
+        return out.select(*[F.col("__id")[c].alias(c) for c in keep if c != text], "n_words", "n_removed", "kept", "kept_text")
     return out.withColumnRenamed("__id", id_column)
