@@ -29,7 +29,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest id."""
     found = neardup.cluster(docs).filter("kept").select(F.col("doc_id").alias("__kept"))
-    rows = docs.join(found.distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    rows = docs.join(found.distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
     again = found.filter("__kept is not null").groupBy("__kept").count().filter("count > 1")
     if again.isEmpty():
         return rows

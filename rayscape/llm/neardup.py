@@ -162,16 +162,17 @@ def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             values = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("__id"), prints, pa.ListArray.from_arrays(pa.array(edges), values)], ["node", "print", "shingles"])
 
-    found = rows.join(wanted.select(F.col("node").alias("__id")), "__id", "left_semi")
+    # what is wanted grows with the corpus, so it is never broadcast, however small it may be here
+    found = rows.join(wanted.select(F.col("node").alias("__id")).hint("merge"), "__id", "left_semi")
     sets = found.select("__id", "__text").mapInArrow(work, f"node {kind}, print binary, shingles array<bigint>")
-    return sets.join(wanted, ["node", "print"], "left_semi").select("node", "shingles")
+    return sets.join(wanted.hint("merge"), ["node", "print"], "left_semi").select("node", "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough, exactly."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    shared = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("both"))
+    shared = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("both"))
     return shared.filter(f"100 * both >= {SIMILARITY} * (p + q - both)").select("a", "b")
 
 

@@ -235,5 +235,5 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_colu
             where = [pa.array(made["sequence"][run] + rank - made["rank"][run]), pa.array(made["offset"][run])]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in schema.names[:-2]] + where, names=schema.names)
 
-    placed = cut.join(each.select("part", "length", "before"), ["part", "length"]).mapInArrow(place, schema)
+    placed = cut.join(each.select("part", "length", "before").hint("merge"), ["part", "length"]).mapInArrow(place, schema)
     return placed.withColumnRenamed("__id", id_column)

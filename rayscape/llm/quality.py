@@ -146,7 +146,7 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     from pyspark import TaskContext
 
     known = learnable(labels, label)
-    rows = stats.join(known, stats["__id"] == known["__label_id"]).select("stats", "y")
+    rows = stats.join(known.hint("merge"), stats["__id"] == known["__label_id"]).select("stats", "y")
     size = len(NAMES)
     moments = rows.agg(F.count("*"), *(f(F.element_at("stats", i + 1)) for i in range(size) for f in (F.avg, F.stddev_pop))).first()
     model = Model(np.zeros(size), np.ones(size), np.zeros(1 + FEATURES + size), np.zeros(1), np.array([0.5]))

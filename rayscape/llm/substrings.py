@@ -241,9 +241,9 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
 
     with arrow_batches(spark, 8):
         seen = scratch.save(repeats(cut.select("block", "body").mapInArrow(first, OFFER), 1), "anchors")
-        both = cut.select("block", "body").join(seen, "block", "inner")
+        both = cut.select("block", "body").join(seen.hint("merge"), "block", "inner")
         again = scratch.save(repeats(both.mapInArrow(second, OFFER), 2), "windows")
-        every = cut.drop("words").join(seen, "block", "left").join(again.withColumnRenamed("marks", "marks2"), "block", "left")
+        every = cut.drop("words").join(seen.hint("merge"), "block", "left").join(again.withColumnRenamed("marks", "marks2").hint("merge"), "block", "left")
         out = scratch.save(every.mapInArrow(third, f"__id {kind}, n_words bigint, n_removed bigint, kept string, kept_text string"), "kept")
     scratch.drop("blocks", "anchors", "windows")
     if keep:
