@@ -31,11 +31,15 @@ def fresnel_parameter(start: Column, end: Column, edge: Column) -> Column:
     return (edge["z"] - straight) * F.sqrt(F.lit(2.0) / (F.lit(WAVELENGTH) * d))
 
 
+def _chain(nodes: Column) -> Column:
+    """Losses of all nodes but the first and the last; each step's values are bound before the next one uses them."""
+    inner = F.slice(nodes, 2, F.size(nodes) - 2)
+    three = F.transform(inner, lambda edge, i: F.struct(F.get(nodes, i).alias("p"), F.get(nodes, i + 2).alias("q"), edge.alias("e")))
+    parameters = F.transform(three, lambda t: fresnel_parameter(t["p"], t["q"], t["e"]))
+    return F.transform(parameters, lambda v: F.coalesce(fresnel_loss(v), F.lit(0.0)))
+
+
 def chain_loss(start: Column, end: Column, edges: Column) -> Column:
     """Sum of the losses of edges in their order, each between its neighbours (Epstein-Peterson); 0 without edges."""
-    nodes = F.concat(F.array(start), edges, F.array(end))
-    losses = F.when(
-        F.size(edges) > 0,
-        F.transform(F.sequence(F.lit(1), F.size(edges)), lambda i: F.coalesce(fresnel_loss(fresnel_parameter(F.element_at(nodes, i), F.element_at(nodes, i + 2), F.element_at(nodes, i + 1))), F.lit(0.0))),
-    )
+    losses = F.transform(F.array(F.concat(F.array(start), edges, F.array(end))), _chain)[0]
     return F.coalesce(F.aggregate(losses, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))

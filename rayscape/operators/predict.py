@@ -11,7 +11,7 @@ from rayscape.functions.fourpl import height_bounds
 from rayscape.operators import logistic
 from rayscape.operators.spatial import CELL, projected_height
 
-STRENGTH_STEP = 0.001  # dB-Hz, to which strengths of rays that miss a building are rounded
+STRENGTH_STEP = 0.1  # dB-Hz, the resolution of receivers' logs, to which strengths of rays that miss a building are rounded
 RESULT = "building_id bigint, step int, model string, a double, b double, c double, d double"
 
 
@@ -25,7 +25,7 @@ def prepare(observations: DataFrame, buildings: DataFrame, cell: float = CELL) -
 def strengths(observations: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(values, how often, median) of all signal strengths, rounded. A receiver's scale goes to about 100, so there are a bounded number of values."""
     value = F.round(F.nanvl("Cn0DbHz", F.lit(None).cast("double")) / STRENGTH_STEP).cast("long")
-    rows = observations.select(value.alias("v")).groupBy("v").count().filter("v between -200000 and 200000").orderBy("v").collect()
+    rows = observations.select(value.alias("v")).groupBy("v").count().filter("v between -2000 and 2000").orderBy("v").collect()
     middle = observations.agg(F.median(F.nanvl("Cn0DbHz", F.lit(None).cast("double")))).first()[0]
     return np.array([r.v for r in rows], float) * STRENGTH_STEP, np.array([r["count"] for r in rows], float), float("nan") if middle is None else float(middle)
 
@@ -54,7 +54,10 @@ def fit(observations: DataFrame, buildings: DataFrame, iterations: int = 4, onli
         rows = [(int(group["building_id"].iloc[0]), k, name, *map(float, p)) for k, both in enumerate(done) for name, p in zip(("strength", "height"), both)]
         return pd.DataFrame(rows, columns=["building_id", "step", "model", "a", "b", "c", "d"])
 
-    return prepare(observations, buildings, cell).groupBy("building_id").applyInPandas(per_building, RESULT)
+    # fits cost far more than their rows weigh, so they are dealt to as many tasks as there are shuffle partitions at least, uncoalesced
+    pairs = prepare(observations, buildings, cell)
+    width = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * pairs.sparkSession.sparkContext.defaultParallelism)
+    return pairs.repartition(width, "building_id").groupBy("building_id").applyInPandas(per_building, RESULT)
 
 
 def predict(buildings: DataFrame, observations: DataFrame, **how) -> DataFrame:

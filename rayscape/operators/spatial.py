@@ -41,8 +41,9 @@ def pairs(rays: DataFrame, buildings: DataFrame, cell: float = CELL) -> DataFram
 
 def projected_height(rays: DataFrame, buildings: DataFrame, cell: float = CELL) -> DataFrame:
     """(ray_id, building_id, height, z, t): the lowest place at which each ray crosses each building's outline; pairs that don't cross are left out."""
-    found = pairs(rays, buildings, cell).withColumn("c", planar.lowest_crossing(F.col("ring"), F.col("r"), F.col("s")))
-    return found.filter("c is not null").select("ray_id", "building_id", "r", "s", "height", "c.z", "c.t")
+    lowest = F.filter(F.array(planar.lowest_crossing(F.col("ring"), F.col("r"), F.col("s"))), lambda c: c.isNotNull())
+    # as a generator it is computed once, and rows without a crossing go
+    return pairs(rays, buildings, cell).select("ray_id", "building_id", "r", "s", "height", F.inline(lowest))
 
 
 def height_matrix(heights: DataFrame, building_ids: list[int], row: str = "ray_id") -> DataFrame:
