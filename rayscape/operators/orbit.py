@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rayscape.functions.geodesy import let
 from rayscape.functions.time import doy_to_gps, gps_to_doy
 
 NODES = 8  # epochs of a window
@@ -33,18 +32,22 @@ def windows(sp3: DataFrame) -> DataFrame:
     return kept.withColumns({"lb": F.element_at("t", 1), "ub": F.element_at("t", -1)}).select("date", "svid", "mid", "lb", "ub", "t", "x", "y", "z")
 
 
-def lagrange(t: Column, nodes: Column, values: Column, n: int = NODES) -> Column:
-    """Value at t of the polynomial through (nodes, values); times are whole nanoseconds, scaled exactly to the window's length."""
-    first, span = F.element_at(nodes, 1), (F.element_at(nodes, n) - F.element_at(nodes, 1)).cast("double")
-    u = (t - first).cast("double") / span
-    at = [(F.element_at(nodes, k + 1) - first).cast("double") / span for k in range(n)]
-    # about the first value, which keeps digits of large coordinates
+def lagrange_weights(t: Column, nodes: Column, n: int = NODES) -> Column:
+    """Weights of n values at t; times are whole nanoseconds, and differences of them are scaled to the window's length."""
+    first = F.element_at(nodes, 1)
+    span = (F.element_at(nodes, n) - first).cast("double")
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def weights(u: Column, at: Column) -> Column:
+        return F.transform(every, lambda j: F.aggregate(every, F.lit(1.0), lambda acc, k: F.when(k == j, acc).otherwise(acc * (u - F.get(at, k)) / (F.get(at, j) - F.get(at, k)))))
+
+    return let({"u": (t - first).cast("double") / span, "at": F.transform(nodes, lambda x: (x - first).cast("double") / span)}, weights)
+
+
+def weighted(weights: Column, values: Column) -> Column:
+    """Sum of weighted values, about the first one, which keeps digits of large coordinates."""
     base = F.element_at(values, 1)
-    terms = []
-    for j in range(n):
-        weight = reduce(lambda a, b: a * b, [(u - at[k]) / (at[j] - at[k]) for k in range(n) if k != j])
-        terms.append((F.element_at(values, j + 1) - base) * weight)
-    return base + reduce(lambda a, b: a + b, terms)
+    return base + F.aggregate(F.zip_with(weights, values, lambda w, v: w * (v - base)), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def candidates(times: DataFrame, orbits: DataFrame, supported: Column | None = None) -> DataFrame:
@@ -64,5 +67,6 @@ def locate(wanted: DataFrame, orbits: DataFrame) -> DataFrame:
     gap = F.abs(F.col("mid") - F.col("gps_ns"))
     near = keys.join(orbits, ["date", "svid"]).groupBy("gps_ns", "date", "svid").agg(F.min_by(F.struct("lb", "ub", "t", "x", "y", "z"), F.struct(gap, -F.col("mid"))).alias("w"))
     inside = F.col("gps_ns").between(F.col("w.lb"), F.col("w.ub"))
-    found = near.select("gps_ns", "date", "svid", *[F.when(inside, lagrange(F.col("gps_ns"), F.col("w.t"), F.col(f"w.{c}"))).alias(f"sv_{c}") for c in "xyz"])
+    near = near.withColumn("k", F.when(inside, lagrange_weights(F.col("gps_ns"), F.col("w.t"))))
+    found = near.select("gps_ns", "date", "svid", *[weighted(F.col("k"), F.col(f"w.{c}")).alias(f"sv_{c}") for c in "xyz"])
     return wanted.join(found, ["gps_ns", "date", "svid"], "left")

@@ -64,9 +64,9 @@ def leap_seconds(spark, sf_dir):
     return events_utc(spark, sf_dir).select("event_id", T.leap_seconds(F.col("utc")).alias("leap"))
 
 
-@query(f"select event_id, {_UTC} + {_LEAP.format(u=_UTC)}::bigint * 1000000000 - 315964800000000000 as gps from events")
+@query(f"select event_id, ({_UTC} + {_LEAP.format(u=_UTC)}::bigint * 1000000000 - 315964800000000000) // 1000000 as gps_ms from events")
 def utc_to_gps(spark, sf_dir):
-    return events_utc(spark, sf_dir).select("event_id", T.utc_to_gps(F.col("utc")).alias("gps"))
+    return events_utc(spark, sf_dir).select("event_id", T.floor_div(T.utc_to_gps(F.col("utc")), 1_000_000).alias("gps_ms"))
 
 
 @query(f"select event_id, {_GPS} + 315964800000000000 - 18000000000 as utc from events")
@@ -163,12 +163,12 @@ d as (select *, case when rx > sent then sent else sent - period end as tx from
 
 
 @query(_RAW_SQL + """
-select line_no, letter || lpad(num::varchar, 2, '0') as svid, rx, tx, rx + 315964800000000000 - 18000000000 as time_ns,
+select line_no, letter || lpad(num::varchar, 2, '0') as svid, rx, rx - tx as travel_ns, rx + 315964800000000000 - 18000000000 as time_ns,
        (rx + 315964800000000000 - 18000000000) // 1000000 as time_ms, round((rx - tx)::double * 1e-9 * 299792458e0 * 1e3)::bigint as pr_mm from d
 """)
 def raw_features(spark, sf_dir):
     found = process_raw(raw_lines(spark, sf_dir))
-    return found.select("line_no", "svid", "rx", "tx", "time_ns", "time_ms", F.round(F.col("pr") * F.lit(1e3)).cast("long").alias("pr_mm"))
+    return found.select("line_no", "svid", "rx", (F.col("rx") - F.col("tx")).alias("travel_ns"), "time_ns", "time_ms", F.round(F.col("pr") * F.lit(1e3)).cast("long").alias("pr_mm"))
 
 
 @query(_RAW_SQL + "select min(rx - tx) as least, max(rx - tx) as greatest, count(*) filter (where rx - tx <= 0 or rx - tx >= 1000000000) as implausible from d")
