@@ -22,7 +22,7 @@ def _cell(x: Column, size: float) -> Column:
 def _spread(df: DataFrame, box: dict[str, Column], size: float, side: str) -> DataFrame:
     """A row for each cell that a row's box touches."""
     x, y = (F.sequence(_cell(box[f"min{c}"], size), _cell(box[f"max{c}"], size)) for c in "xy")
-    out = df.withColumns({f"__{side}x": box["minx"], f"__{side}y": box["miny"]})
+    out = df.withColumns({f"__{side}x": box["minx"], f"__{side}y": box["miny"], f"__{side}x2": box["maxx"], f"__{side}y2": box["maxy"]})
     whole = out.filter(box["minx"].isNotNull() & box["miny"].isNotNull() & box["maxx"].isNotNull() & box["maxy"].isNotNull())
     return whole.withColumn("__cx", F.explode(x)).withColumn("__cy", F.explode(y))
 
@@ -36,7 +36,8 @@ def pairs(rays: DataFrame, buildings: DataFrame, cell: float = CELL) -> DataFram
     left = _spread(rays.select("ray_id", "r", "s"), _ray_box(F.col("r"), F.col("s")), cell, "r")
     right = _spread(buildings.select("building_id", "ring", "height"), planar.bounds(F.col("ring")), cell, "b")
     home = (F.col("__cx") == _cell(F.greatest("__rx", "__bx"), cell)) & (F.col("__cy") == _cell(F.greatest("__ry", "__by"), cell))
-    return left.join(right, ["__cx", "__cy"]).filter(home).select("ray_id", "r", "s", "building_id", "ring", "height")
+    touch = (F.least("__rx2", "__bx2") >= F.greatest("__rx", "__bx")) & (F.least("__ry2", "__by2") >= F.greatest("__ry", "__by"))
+    return left.join(right, ["__cx", "__cy"]).filter(touch & home).select("ray_id", "r", "s", "building_id", "ring", "height")
 
 
 def projected_height(rays: DataFrame, buildings: DataFrame, cell: float = CELL) -> DataFrame:
@@ -93,7 +94,7 @@ def inside_any(points: DataFrame, buildings: DataFrame, cell: float = CELL) -> D
     x, y = F.col("x"), F.col("y")
     left = points.select("point_id", "x", "y").withColumns({"__cx": _cell(x, cell), "__cy": _cell(y, cell)})
     right = _spread(buildings.select("building_id", "ring"), planar.bounds(F.col("ring")), cell, "b")
-    return left.join(right, ["__cx", "__cy"]).filter(planar.contains(F.col("ring"), x, y, boundary=True)).select("point_id").distinct()
+    return left.join(right, ["__cx", "__cy"]).filter(x.between(F.col("__bx"), F.col("__bx2")) & y.between(F.col("__by"), F.col("__by2"))).filter(planar.contains(F.col("ring"), x, y, boundary=True)).select("point_id").distinct()
 
 
 def outside(points: DataFrame, buildings: DataFrame, polygon: list[tuple[float, float]] | None = None, cell: float = CELL) -> DataFrame:
