@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rayscape.llm import neardup, packing, secrets, substrings, toxicity
+from rayscape.llm.arrowio import uncarried
 from rayscape.llm.registry import table, vocabulary
 from rayscape.llm.scratch import Scratch
 
@@ -23,7 +24,7 @@ ORACLE_SQL = None
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the classifier rejects; it learns from the labels of the documents at hand."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).filter(F.col("score") < TOXIC).drop("score")
+    return uncarried(docs, toxicity.score(docs, model, carry=True).filter(F.col("score") < TOXIC), "text", F.col("__text"), measure=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that occur more than once out of the texts."""
-    return with_text(docs, substrings.dedup(docs, keep=docs.columns), "kept_text")
+    return uncarried(docs, substrings.dedup(docs, carry=True), "text", F.col("kept_text"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by a placeholder."""
-    return with_text(docs, secrets.scan(docs, keep=docs.columns, redacted=True), "redacted")
+    return uncarried(docs, secrets.scan(docs, carry=True, redacted=True), "text", F.col("redacted"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +55,6 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
-def with_text(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs`` with a new text, and its number of characters where there is such a column."""
-    new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
-
-
 STAGES = [
     ("toxicity", toxicity_filter),
     ("near duplicates", near_duplicates),

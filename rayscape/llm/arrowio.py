@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
 
@@ -32,6 +33,20 @@ def _bytes(x: pa.Scalar):
     return x.as_buffer() if x.is_valid and hasattr(x, "as_buffer") else None
 
 
+def carried(docs: DataFrame, id_column: str, text: str, carry: bool) -> Column:
+    """What of a row goes along with its text: its id, or (``carry``) a struct of all other columns, whatever their names."""
+    if not carry:
+        return docs[id_column]
+    return F.struct(*[docs[c] for c in docs.columns if c != text], F.lit(0).alias("__none"))
+
+
+def uncarried(docs: DataFrame, found: DataFrame, text: str, new: Column, measure: bool = True) -> DataFrame:
+    """The columns of ``docs`` again, from rows of ``__row`` and results, with a new text (and, to ``measure``, its length as ``n_chars`` where there is that column)."""
+    length = {"n_chars": F.length(new).cast("long")} if measure and "n_chars" in docs.columns else {}
+    values = {c: F.col("__row")[c] for c in docs.columns if c != text} | {text: new} | length
+    return found.select(*[values[c].alias(c) for c in docs.columns])
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, empty for null."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from rayscape.llm.arrowio import slices
+from rayscape.llm.arrowio import carried, slices
 
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -164,19 +165,16 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
-    """Adds base and confirmed spans to each row; ``keep`` names the columns carried along.
+def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id", carry: bool = False, redacted: bool = False) -> DataFrame:
+    """Base and confirmed spans of each row, with its id; with ``carry``, all its other columns come along as a struct ``__row`` instead.
 
     Null texts count as empty: no spans, and a null redacted text. Very long texts are
     scanned whole. Rows are independent, so repeated rows give repeated results and an
-    empty table gives an empty one. Columns of ``docs`` that aren't kept can have any name.
+    empty table gives an empty one. Other columns of ``docs`` can have any name.
     """
-    keep = ["doc_id"] if keep is None else keep
-    fields = [docs.schema[c] for c in keep]
-    if clash := {c.lower() for c in keep} & {"n_assign", "n_access", "n_hex", "base_sha256", "base", "spans", "redacted"}:
-        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += (", " if fields else "") + "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string" + (", redacted string" if redacted else "")
+    rows = docs.select(carried(docs, id_column, text, carry).alias("__row"), docs[text].alias("__text"))
+    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"] + ["redacted"] * redacted
+    schema = T.StructType([rows.schema["__row"], *[T.StructField(n, T.LongType() if n.startswith("n_") else T.StringType()) for n in names]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
@@ -187,10 +185,9 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, red
                 kinds = [k for _, k, _ in base]
                 row = (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(shown(base).encode()).hexdigest(), shown(every))
                 found.append(row + ((redact(t, every) if t is not None else None,) if redacted else ()))
-            cols = list(zip(*found))
-            types = [pa.int64()] * 3 + [pa.string()] * (len(cols) - 3)
-            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"] + ["redacted"] * redacted
-            arrays = [b.column(c) for c in keep] + [pa.array(c, t) for c, t in zip(cols, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=keep + names)
+            types = [pa.int64()] * 3 + [pa.string()] * (len(names) - 3)
+            arrays = [pa.array(c, t) for c, t in zip(zip(*found), types)]
+            yield pa.RecordBatch.from_arrays([b.column("__row"), *arrays], names=["__row", *names])
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(work, schema)
+    out = rows.mapInArrow(work, schema)
+    return out if carry else out.withColumnRenamed("__row", id_column)

@@ -24,8 +24,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rayscape.llm.arrowio import slices, texts
+from rayscape.llm.arrowio import carried, slices, texts
 from rayscape.llm.hashing import U, batch_word_hashes, window_hashes
 from rayscape.llm.scratch import Scratch, arrow_batches, shuffle_width
 
@@ -53,20 +54,19 @@ def unpack_texts(data: bytes) -> list[bytes]:
 
 def blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     """Rows of (key, texts) as rows of (block, ids, compressed texts, words)."""
-    kind = rows.schema["__id"].dataType.simpleString()
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 33, 0
         for b in slices(batches, "__text", block_bytes):
             parts = texts(b.column("__text"))
             absent = [not x for x in b.column("__text").is_valid().to_pylist()]
             words = sum(len(p.split()) for p in parts)
-            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("__id"))
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("__row"))
             missing = pa.array([absent], pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([pa.array([base + n]), ids, missing, pa.array([pack_texts(parts)], pa.binary()), pa.array([words])], ["block", "ids", "absent", "body", "words"])
             n += 1
 
-    return rows.mapInArrow(work, f"block bigint, ids array<{kind}>, absent array<boolean>, body binary, words bigint")
+    first = T.StructType.fromDDL("block bigint")
+    return rows.mapInArrow(work, T.StructType([*first, T.StructField("ids", T.ArrayType(rows.schema["__row"].dataType)), *T.StructType.fromDDL("absent array<boolean>, body binary, words bigint")]))
 
 
 # -- hashes of a block -------------------------------------------------------------
@@ -177,24 +177,21 @@ def marked(h: np.ndarray, marks: dict[int, bytes], n: int) -> np.ndarray:
     return hit[back]
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """Removes each word covered by a window whose words, in their order, also start anywhere else.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows are judged on the input. Returns per row: its
     id, ``n_words``, ``n_removed``, ``kept`` (kept words joined by one space; the text itself, byte for
     byte, in ``kept_text`` where nothing was removed, null if it was null). A null text has no words. Repeated rows are each other's
     copies and lose every full window; equal or null ids are no matter, and an empty table
-    gives no rows. Only the id and the text are read, and the columns that ``keep`` names are carried along in place of the id.
+    gives no rows. Only the id and the text are read;
+    with ``carry``, all other columns come along as a struct ``__row`` in place of the id.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    if clash := {c.lower() for c in keep or []} & {"n_words", "n_removed", "kept", "kept_text"}:
-        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
-    carried = F.struct(*[docs[c] for c in keep if c != text], F.lit(0).alias("__none")) if keep else docs[id_column]
-    rows = docs.select(carried.alias("__id"), docs[text].alias("__text"))
-    kind = rows.schema["__id"].dataType.simpleString()
+    rows = docs.select(carried(docs, id_column, text, carry).alias("__row"), docs[text].alias("__text"))
     with arrow_batches(spark):
         cut = scratch.save(blocks(rows, block_bytes), "blocks")
     words = cut.agg(F.sum("words")).first()[0] or 0
@@ -215,7 +212,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
                 yield offer_batch(offers(block, block_of.windows(window, at), n))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["__id", "n_words", "n_removed", "kept", "kept_text"]
+        names = ["__row", "n_words", "n_removed", "kept", "kept_text"]
         for b in batches:
             for k in range(b.num_rows):
                 block_of = Hashed(b.column("body")[k].as_py())
@@ -244,8 +241,6 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
         both = cut.select("block", "body").join(seen.hint("merge"), "block", "inner")
         again = scratch.save(repeats(both.mapInArrow(second, OFFER), 2), "windows")
         every = cut.drop("words").join(seen.hint("merge"), "block", "left").join(again.withColumnRenamed("marks", "marks2").hint("merge"), "block", "left")
-        out = scratch.save(every.mapInArrow(third, f"__id {kind}, n_words bigint, n_removed bigint, kept string, kept_text string"), "kept")
+        out = scratch.save(every.mapInArrow(third, T.StructType([rows.schema["__row"], *T.StructType.fromDDL("n_words bigint, n_removed bigint, kept string, kept_text string")])), "kept")
     scratch.drop("blocks", "anchors", "windows")
-    if keep:
-        return out.select(*[F.col("__id")[c].alias(c) for c in keep if c != text], "n_words", "n_removed", "kept", "kept_text")
-    return out.withColumnRenamed("__id", id_column)
+    return out if carry else out.withColumnRenamed("__row", id_column)

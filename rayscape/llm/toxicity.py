@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rayscape.llm.arrowio import slices
+from rayscape.llm.arrowio import carried, slices
 from rayscape.llm.hashing import CHUNK, U, mix, segment_hashes
 from rayscape.llm.labelled import held_out, learnable, sample
 from rayscape.llm.scratch import Scratch, arrow_batches
@@ -193,21 +194,22 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     return Model(keys, w, bias)
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Each row's kept columns (its id, if not said otherwise) and ``score``; null texts score as empty ones do.
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """Each row's id and ``score``; with ``carry``, its text as ``__text`` and all other columns as a struct ``__row`` instead of the id. Null texts score as empty ones do.
 
     Rows are independent: repeated rows and ties are scored alike, and an empty table gives no rows.
     """
-    keep = [id_column] if keep is None else keep
-    rows = docs.select(*keep, F.coalesce(docs[text], F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", __score double"
+    rows = docs.select(carried(docs, id_column, text, carry).alias("__row"), docs[text].alias("__text"))
+    names = ["__row", "__text"] if carry else ["__row"]
+    schema = T.StructType([*[rows.schema[n] for n in names], T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
-            found = pa.array([model.score(t) for t in b.column("__text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [found], [*keep, "__score"])
+            found = pa.array([model.score(t or "") for t in b.column("__text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], found], [*names, "score"])
 
-    return rows.mapInArrow(work, schema).withColumnRenamed("__score", "score")
+    out = rows.mapInArrow(work, schema)
+    return out if carry else out.withColumnRenamed("__row", id_column)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
