@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+
+
+def _return_freed_memory() -> None:
+    """Has large freed arrays go back to the system at once: workers live long, and an executor's memory holds several."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with use
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_freed_memory()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

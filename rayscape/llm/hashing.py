@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-CHUNK = 1 << 20  # bytes hashed at a time
+CHUNK = 1 << 18  # bytes hashed at a time; a worker holds some ten arrays of eight times that
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(0, 2**64, 256, dtype=U)
 _R = U(0x9E3779B97F4A7C15)

@@ -11,6 +11,8 @@ among the pieces of their length; no task holds more than a block of them.
 
 from __future__ import annotations
 
+import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -146,31 +148,34 @@ def runs(planned: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def encoders(json_path: str, ranks_path: str | None):
-    """The tokenizers library's encoder, and a faster one of the same vocabulary for texts without special tokens' strings."""
-    import base64
-
+def library_encoder(json_path: str):
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
-    slow.no_truncation()
-    slow.no_padding()
-    if not ranks_path:
-        return slow, None, []
+    found = Tokenizer.from_file(json_path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+@lru_cache(maxsize=2)
+def rank_encoder(json_path: str, ranks_path: str):
+    """A faster encoder of the same vocabulary, for texts without the strings of special tokens, which come with it."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast, [t.content for t in slow.get_added_tokens_decoder().values()]
+    with open(json_path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
 def ids_of(text: str, json_path: str, ranks_path: str | None) -> list[int]:
-    slow, fast, special = encoders(json_path, ranks_path)
-    if fast is None or any(s in text for s in special):
-        return slow.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+    if ranks_path:
+        fast, special = rank_encoder(json_path, ranks_path)
+        if not any(s in text for s in special):
+            return fast.encode_ordinary(text)
+    return library_encoder(json_path).encode(text, add_special_tokens=False).ids
 
 
 def bounds(n: int, most: int) -> list[int]:

@@ -40,7 +40,7 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> contextlib.AbstractContextManager[None]:
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> contextlib.AbstractContextManager[None]:
     """Bounds the Arrow batches of the jobs run inside."""
     return settings(spark, **{ARROW_ROWS: str(rows), ARROW_BYTES: size})
 
