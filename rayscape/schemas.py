@@ -5,10 +5,14 @@ Receiver points, rays, observations and maps are DataFrames with fixed columns;
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rayscape.functions import geodesy
+
 L, D, S = T.LongType(), T.DoubleType(), T.StringType()
 POINT = T.StructType([T.StructField(c, D) for c in "xyz"])
 CORNER = T.StructType([T.StructField(c, D) for c in "xy"])
@@ -93,3 +97,15 @@ def validate(df: DataFrame, kind: str, contents: bool = True) -> DataFrame:
 def infer_kind(df: DataFrame) -> str | None:
     """The most demanding record type whose columns a DataFrame has."""
     return next((k for k in ("observations", "map", "receiverpoints", "rays") if not failures(df, k, contents=False)), None)
+
+
+def warn_of_plane_crs(crs: str) -> None:
+    """A warning for a coordinate system without heights of its own."""
+    if geodesy.is_2d(crs):
+        warnings.warn(f"{crs} has no heights; they are carried along unchanged", stacklevel=2)
+
+
+def warn_of_inexact_times(df: DataFrame, column: str = "time_ns") -> None:
+    """A warning for nanoseconds kept as floating-point numbers, which can't hold them."""
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        warnings.warn(f"{column} is a floating-point column, which has too few digits for nanoseconds", stacklevel=2)

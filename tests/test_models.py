@@ -130,6 +130,13 @@ def test_checks(spark):
     assert spatial.reproject_map(m, "EPSG:32631", "EPSG:32631") is m
 
 
+def test_warnings(spark):
+    with pytest.warns(UserWarning, match="heights"):
+        schemas.warn_of_plane_crs("EPSG:27700")
+    with pytest.warns(UserWarning, match="digits"):
+        schemas.warn_of_inexact_times(spark.createDataFrame([(1.0,)], "time_ns double"))
+
+
 def test_stream_fit(spark, tmp_path):
     """Two micro-batches update a building's state; the output is its history."""
     schema = "building_id long, obs_id long, time_ns long, height double, ss double"
