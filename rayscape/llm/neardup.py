@@ -10,6 +10,11 @@ are found in range-sorted partitions, which cut a hot region anywhere.
 
 Candidates are confirmed by intersecting full sets: first each set's least candidate, then all
 others whose ends are still in different components. Every link that joins two components is exact.
+
+Pairs that split regions left out follow, as far as their ends are still in different components: each set of such
+a region is offered to the region's most linked set, then all remaining pairs are compared in blocks. So
+every pair that shares DEPTH values in some tree, and AGREE values there, ends in one component or is confirmed or
+refused on its full sets, whatever the size of its region.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ STRIDE = 8  # signature values from one tree's stretch to the next one's
 STRETCH = 16  # values in a tree's sort key
 DEPTH = 3
 REGION = 64
+BLOCK = 1024  # sets of an open region that one task compares with as many others
 AGREE = 7  # values of the stretch that candidates share at the least
 VALUES = TREES * STRIDE
 _rng = np.random.default_rng(75)
@@ -122,7 +128,7 @@ def agreeing(keys: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray)
 
 
 def candidates(sets: DataFrame, parts: int) -> DataFrame:
-    """Distinct candidate pairs (a > b) of nodes."""
+    """Candidate pairs (a > b) of nodes, some repeatedly, and the rows (a, tree, key, n_shingles) of regions whose pairs aren't all among them."""
     kind = sets.schema["node"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +146,72 @@ def candidates(sets: DataFrame, parts: int) -> DataFrame:
                 region_pairs(keys[i:j], nodes[i:j], sizes[i:j], DEPTH, out)
         pairs = np.concatenate(out) if out else np.zeros((0, 2), nodes.dtype)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        names = ["a", "b", "tree", "key", "n_shingles"]
         for k in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 100_000, 1]), pa.array(pairs[k : k + 100_000, 0])], ["a", "b"])
+            some = pairs[k : k + 100_000]
+            blank = [pa.nulls(len(some), x) for x in (pa.int32(), pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(some[:, 1]), pa.array(some[:, 0]), *blank], names)
+        for i, j in zip(edges, edges[1:]):
+            if is_open(i, j, len(keys)):
+                for b in t.slice(i, j - i).to_batches(100_000):
+                    yield pa.RecordBatch.from_arrays([b["node"], pa.nulls(b.num_rows, b["node"].type), b["tree"].cast(pa.int32()), b["key"].cast(pa.binary()), b["n_shingles"].cast(pa.int64())], names)
 
     dealt = trees(sets).repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return dealt.mapInArrow(work, f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(work, f"a {kind}, b {kind}, tree int, key binary, n_shingles bigint")
+
+
+def is_open(i: int, j: int, n: int) -> bool:
+    """Whether the rows i to j of a partition's n, which share DEPTH values, have pairs that weren't looked at: if they were split."""
+    return j - i > REGION
+
+
+def regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of open regions with their component, and their region's number of rows and largest component, where a region has several."""
+    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("prefix", F.substring("key", 1, 2 * DEPTH))
+    groups = rows.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
+    several = groups.groupBy("tree", "prefix").agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("big")).filter("groups > 1")
+    return rows.join(several.drop("groups"), ["tree", "prefix"])
+
+
+def hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Each set of an open region with the region's most linked set, unless they are in one component."""
+    degrees = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = rows.join(degrees, "node").groupBy("tree", "prefix").agg(F.max(F.struct("degree", "node", "component", "n_shingles")).alias("hub"))
+    met = rows.join(hubs, ["tree", "prefix"]).filter(f"component <> hub.component and 100 * least(n_shingles, hub.n_shingles) >= {SIMILARITY} * greatest(n_shingles, hub.n_shingles)")
+    return met.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of open regions that agree and whose ends are in different components, by pairs of blocks of rows.
+
+    A region's largest component has blocks of its own, which are not compared with one another.
+    """
+    kind = rows.schema["node"].dataType.simpleString()
+    blocks = lambda n: f"ceil({n} / {BLOCK})"
+    rows = rows.withColumn("others", F.expr(blocks("(total - big.n)"))).withColumn("all", F.expr(f"others + {blocks('big.n')}"))
+    rows = rows.withColumn("block", F.expr("if(component = big.component, others + pmod(xxhash64(node), all - others), pmod(xxhash64(node), others))"))
+    rows = rows.withColumn("partner", F.explode(F.expr("sequence(0L, if(block < others, all, others) - 1L)")))
+    dealt = rows.selectExpr("tree", "prefix", "least(block, partner) as lo", "greatest(block, partner) as hi", "block > partner as second", "node", "key", "n_shingles", "component")
+
+    def work(t: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u2").reshape(-1, STRETCH)
+        nodes, sizes, comps, second = (t[c].to_numpy() for c in ("node", "n_shingles", "component", "second"))
+        one = t["lo"][0].as_py() == t["hi"][0].as_py()
+        left, right = (np.arange(len(nodes)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
+        out = [np.zeros((0, 2), nodes.dtype)]
+        for k in range(0, len(left), 64):
+            x = left[k : k + 64]
+            wanted = comps[x][:, None] != comps[right][None, :]
+            if one:
+                wanted &= x[:, None] < right[None, :]
+            p, q = np.nonzero(wanted)
+            x, y = x[p], right[q]
+            ok = agreeing(keys, sizes, x, y)
+            out.append(np.column_stack([nodes[x[ok]], nodes[y[ok]]]))
+        pairs = np.sort(np.concatenate(out), axis=1)
+        return pa.table({"a": pairs[:, 1], "b": pairs[:, 0]})
+
+    return dealt.groupBy("tree", "prefix", "lo", "hi").applyInArrow(work, f"a {kind}, b {kind}").distinct()
 
 
 # -- confirmation --------------------------------------------------------------------
@@ -192,8 +259,10 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
         marks = scratch.save(signed(rows), "marks")
         usable = marks.filter("n_shingles > 0 and __id is not null")
         sets = scratch.save(usable.groupBy("print").agg(F.min("__id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark")), "sets")
-        pairs = scratch.save(candidates(sets, parts), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        found = scratch.save(candidates(sets, parts), "found")
+        pairs = scratch.save(found.filter("tree is null").select("a", "b").distinct(), "pairs")
+        left = found.filter("tree is not null").select(F.col("a").alias("node"), "tree", "key", "n_shingles")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(left.select("node")).distinct()
         wanted = sets.join(ends, "node").select("node", "print")
         full = scratch.save(full_sets(rows, wanted), "full")
         least = pairs.groupBy("a").agg(F.min("b").alias("b"))
@@ -206,15 +275,21 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
             .filter("coalesce(ca, a) <> coalesce(cb, b)")
             .select("a", "b")
         )
-        more = scratch.save(confirmed(rest, full), "more")
+        near = links.unionByName(scratch.save(confirmed(rest, full), "more"))
+        if not left.isEmpty():
+            labels = scratch.save(components(near, scratch, "second"), "labels-2")
+            hubs = hub_pairs(scratch.save(regions(left, labels), "open-1"), near)
+            near = near.unionByName(scratch.save(confirmed(hubs, full), "hubs"))
+            labels = scratch.save(components(near, scratch, "third"), "labels-3")
+            near = near.unionByName(scratch.save(confirmed(scratch.save(block_pairs(scratch.save(regions(left, labels), "open-2")), "blocks"), full), "others"))
         same = usable.groupBy("__id").agg(F.min("print").alias("p"), F.max("print").alias("q")).filter("p <> q").select("__id")  # ids with several texts
         tie = usable.join(same, "__id", "left_semi").select(F.col("__id").alias("a"), "print").join(sets.select("print", F.col("node").alias("b")), "print").select("a", "b")
-        labels = scratch.save(components(links.unionByName(more).unionByName(tie), scratch, "last"), "components")
+        labels = scratch.save(components(near.unionByName(tie), scratch, "last"), "components")
         linked = (
             marks.join(sets.select("print", "node"), "print", "left")
             .join(labels, "node", "left")
             .select(F.col("__id"), "n_shingles", F.when(F.col("__id").isNotNull(), F.coalesce("component", "node", "__id")).alias("component_id"))
         )
         out = scratch.save(linked.withColumn("kept", F.col("__id").eqNullSafe(F.col("component_id"))), "out")
-    scratch.drop("marks", "sets", "pairs", "full", "links", "labels", "more", "components")
+    scratch.drop("marks", "sets", "found", "pairs", "full", "links", "labels", "more", "labels-2", "open-1", "hubs", "labels-3", "open-2", "blocks", "others", "components")
     return out.withColumnRenamed("__id", id_column)

@@ -53,6 +53,29 @@ def test_neardup_hot_group(spark):
     assert [rows[i] for i in range(430)] == clusters(texts)[1]
 
 
+def star(seed, copies):
+    """A text of 200 words, and copies with four words changed in each, which are like it but not like one another."""
+    rng = random.Random(seed)
+    base = prose(rng, 200, 10**6).split()
+    out = []
+    for _ in range(copies):
+        t = list(base)
+        for k in rng.sample(range(200), 4):
+            t[k] = f"e{rng.randrange(10**9)}"
+        out.append(" ".join(t))
+    return [*out, " ".join(base)]
+
+
+def test_neardup_hot_star(spark):
+    """Thousands of copies that are like one original only: those beyond a region's size are found as well."""
+    texts = star(7, 3000)
+    rows = {r.doc_id: r.component_id for r in neardup.cluster(documents(spark, texts)).collect()}
+    sets = [set(s.tolist()) for s in neardup.shingle_sets([t.encode() for t in texts])]
+    like = [i for i, s in enumerate(sets) if len(s & sets[-1]) >= 0.75 * len(s | sets[-1])]
+    assert len(like) > 2900
+    assert sum(rows[i] != rows[3000] for i in like) <= len(like) // 200
+
+
 def test_neardup_ids(spark):
     """Null ids stay apart, rows that share an id share its links, an empty table gives none."""
     a, b = "a b c d e f g h", "p q r s t u v w"
