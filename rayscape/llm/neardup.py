@@ -6,15 +6,15 @@ How long it must be depends on the region: DEPTH values at least, and more where
 region still holds over REGION sets, until it doesn't or the stretch is used up. A region that
 is split also offers a link between its first set and the first of each part, so groups of
 near copies of any size stay tied together, with a number of candidates in proportion to the rows. Regions
-are found in range-sorted partitions, which cut a hot region anywhere.
+are found in range-sorted partitions, which cut a region anywhere.
 
 Candidates are confirmed by intersecting full sets: first each set's least candidate, then all
 others whose ends are still in different components. Every link that joins two components is exact.
 
-Pairs that split regions left out follow, as far as their ends are still in different components: each set of such
+Pairs that split or cut regions left out follow, as far as their ends are still in different components: each set of such
 a region is offered to the region's most linked set, then all remaining pairs are compared in blocks. So
 every pair that shares DEPTH values in some tree, and AGREE values there, ends in one component or is confirmed or
-refused on its full sets, whatever the size of its region.
+refused on its full sets, whatever the size of its region and the number of partitions.
 """
 
 from __future__ import annotations
@@ -161,8 +161,8 @@ def candidates(sets: DataFrame, parts: int) -> DataFrame:
 
 
 def is_open(i: int, j: int, n: int) -> bool:
-    """Whether the rows i to j of a partition's n, which share DEPTH values, have pairs that weren't looked at: if they were split."""
-    return j - i > REGION
+    """Whether the rows i to j of a partition's n, which share DEPTH values, have pairs that weren't looked at: if they were split, or may go on in another partition."""
+    return j - i > REGION or i == 0 or j == n
 
 
 def regions(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 from common import corpus, documents, prose
+from pyspark.sql import functions as F
 
 from rayscape.llm import bpe, neardup, packing, secrets, substrings
 
@@ -76,6 +77,15 @@ def test_neardup_hot_star(spark):
     assert sum(rows[i] != rows[3000] for i in like) <= len(like) // 200
 
 
+def test_neardup_region_across_partitions(spark):
+    """Rows of a region that a partition's bound cuts are open on either side of it, whatever their number."""
+    sets = spark.createDataFrame([(k, 10, bytes(2 * neardup.VALUES)) for k in range(20)], "node long, n_shingles long, mark binary")
+    rows = neardup.candidates(sets, 24).collect()
+    assert {(r.tree, r.a) for r in rows if r.tree is not None} >= {(t, k) for t in (0, 11) for k in range(20)}
+    pairs = {(r.a, r.b) for r in neardup.block_pairs(neardup.regions(neardup.candidates(sets, 24).filter("tree is not null").select(F.col("a").alias("node"), "tree", "key", "n_shingles"), spark.createDataFrame([], "node long, component long"))).collect()}
+    assert pairs == {(a, b) for a in range(20) for b in range(a)}
+
+
 def test_neardup_ids(spark):
     """Null ids stay apart, rows that share an id share its links, an empty table gives none."""
     a, b = "a b c d e f g h", "p q r s t u v w"
