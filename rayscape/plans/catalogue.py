@@ -450,7 +450,7 @@ def is_outside(spark, sf_dir):
 
 @query(_CROSS + "select ray_id, " + ", ".join(f"round(max(case when building_id = {b} then z end) * 1e6)::bigint as b{b}" for b in (1, 2, 3)) + " from h where building_id <= 3 group by ray_id")
 def height_matrix(spark, sf_dir):
-    wide = spatial.height_matrix(spatial.projected_height(rays(spark, sf_dir), city(spark, sf_dir).filter("building_id <= 3")), [1, 2, 3])
+    wide = spatial.height_matrix(spatial.projected_height(rays(spark, sf_dir), city(spark, sf_dir)), [1, 2, 3]).dropna(how="all", subset=["1", "2", "3"])
     return wide.select("ray_id", *[micro(F.col(f"`{b}`")).alias(f"b{b}") for b in (1, 2, 3)])
 
 

@@ -37,6 +37,15 @@ def test_query_equals_sql(spark, sql, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, found.fetchall())
 
 
+def test_height_matrix_gets_the_whole_map(spark, monkeypatch):
+    if not os.path.isdir(SF):
+        pytest.skip("no benchmark tables here")
+    seen, make = [], catalogue.spatial.height_matrix
+    monkeypatch.setattr(catalogue.spatial, "height_matrix", lambda heights, ids: seen.append(heights) or make(heights, ids))
+    catalogue.height_matrix(spark, SF)
+    assert seen[0].filter("building_id > 3").count() > 0
+
+
 def test_the_others_run(spark):
     if os.path.isdir(SF):
         points = catalogue.simulate_points(spark, SF)
