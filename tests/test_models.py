@@ -148,3 +148,14 @@ def test_stream_fit(spark, tmp_path):
     rows = spark.table("history").orderBy("n", "model").collect()
     assert [(r.n, r.model) for r in rows] == [(20, "height"), (20, "strength"), (40, "height"), (40, "strength")]
     assert rows[0].c != rows[2].c and ONLINE.startswith("building_id")
+
+
+def test_online_bootstrap_counts_every_observation():
+    """A row that stands for many observations steps the strength model as often as they would."""
+    height, ss, w = np.array([30.0, np.nan]), np.array([25.0, 25.0]), np.array([1.0, 4999.0])
+    n = w.astype(int)
+    one = L.bootstrap(height, ss, w, 2, height_start=L.START, online=True)
+    every = L.bootstrap(np.repeat(height, n), np.repeat(ss, n), None, 2, height_start=L.START, ss_middle=25.0, online=True)
+    np.testing.assert_allclose(one[:, 0], every[:, 0], rtol=0.01)
+    zero = L.bootstrap(np.append(height, np.nan), np.append(ss, 90.0), np.append(w, 0.0), 2, height_start=L.START, ss_middle=25.0, online=True)
+    np.testing.assert_allclose(zero, one)
