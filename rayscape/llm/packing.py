@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,10 @@ MAX_TOKENS = 1024
 FIT_STEPS = 400
 SMALL = 32  # lengths whose misfit weighs less: they fit anywhere
 SMALL_WEIGHT = 0.3
+STRETCH = 1 << 20  # characters that are encoded at a time, where a text can be cut
+BLANKS = 4096  # white space in a row that is merged on its own: the encoder's pattern goes one level deeper for each character
+WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # white space as the encoder's pattern has it
+BATCH_ROWS = 4096  # pieces in an Arrow batch
 
 
 # -- plan ------------------------------------------------------------------------
@@ -159,23 +164,72 @@ def library_encoder(json_path: str):
 
 @lru_cache(maxsize=2)
 def rank_encoder(json_path: str, ranks_path: str):
-    """A faster encoder of the same vocabulary, for texts without the strings of special tokens, which come with it."""
+    """A faster encoder of the same vocabulary, the ids of special tokens by their strings, and a pattern that cuts these out; None if they take blanks along."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     with open(json_path, encoding="utf-8") as f:
-        special = [t["content"] for t in json.load(f)["added_tokens"]]
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+        added = json.load(f)["added_tokens"]
+    if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        return None
+    special = {t["content"]: t["id"] for t in added}
+    cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special, cut
 
 
-def ids_of(text: str, json_path: str, ranks_path: str | None) -> list[int]:
-    if ranks_path:
-        fast, special = rank_encoder(json_path, ranks_path)
-        if not any(s in text for s in special):
-            return fast.encode_ordinary(text)
-    return library_encoder(json_path).encode(text, add_special_tokens=False).ids
+def stretches(text: str, most: int = STRETCH, blanks: int = BLANKS) -> Iterator[tuple[str, bool]]:
+    """A text in parts that are encoded on their own, and whether a part is one run of white space.
+
+    No token reaches from a character into white space after it, and a run of white space is one token's text but for its
+    last character, which may begin the next one's. So texts can be cut before white space, and a run before its last character.
+    """
+    if len(text) <= blanks:
+        yield text, False
+        return
+    at = 0
+    for m in re.finditer(f"(?<![{WHITE}])[{WHITE}]{{{blanks + 1},}}", text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        yield from ((x, False) for x in before_blanks(text, at, m.start(), most))
+        yield text[m.start() : end], True
+        at = end
+    yield from ((x, False) for x in before_blanks(text, at, len(text), most))
+
+
+def before_blanks(text: str, at: int, end: int, most: int) -> Iterator[str]:
+    """text[at:end] in parts of about ``most`` characters, each cut between a character and white space after it."""
+    edge = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+    while end - at > most:
+        m = edge.search(text, at + most, end)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    if at < end:
+        yield text[at:end]
+
+
+def ids_of(text: str, json_path: str, ranks_path: str | None) -> np.ndarray:
+    """Token ids as the library gives them, special tokens' strings included."""
+    found = rank_encoder(json_path, ranks_path) if ranks_path else None
+    if not found:
+        return np.array(library_encoder(json_path).encode(text, add_special_tokens=False).ids, "<u4")
+    fast, special, cut = found
+    out: list[np.ndarray] = []
+
+    def plain(part: str) -> None:
+        for x, blank in stretches(part):
+            out.append(np.array(fast._encode_single_piece(x) if blank else fast.encode_ordinary(x), "<u4"))
+
+    at = 0
+    if cut and any(x in text for x in special):
+        for m in cut.finditer(text):
+            plain(text[at : m.start()])
+            out.append(np.array([special[m[0]]], "<u4"))
+            at = m.end()
+    plain(text[at:] if at else text)
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def bounds(n: int, most: int) -> list[int]:
@@ -190,23 +244,29 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, id_column: s
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"__id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint" + (", ids binary" if with_ids else "")
 
+    names = ["__id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        at, *cols = zip(*rows)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], names)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), [0] * (most + 1)
+        end = np.array([end_id], "<u4")
         for b in slices(batches, "__text"):
-            rows, at, bodies = [], [], []
+            rows = []
             for i, t in enumerate(b.column("__text").to_pylist()):
-                body = np.array([*ids_of(t, json_path, ranks_path), end_id], "<u4")
+                body = np.concatenate([ids_of(t, json_path, ranks_path), end])
                 edges = bounds(len(body), most)
                 for k, (x, y) in enumerate(zip(edges, edges[1:])):
-                    rows.append((k, x, y - x, zlib.crc32(body[x:y]), part, seen[y - x]))
+                    rows.append((i, k, x, y - x, zlib.crc32(body[x:y]), part, seen[y - x], *([body[x:y].tobytes()] * with_ids)))
                     seen[y - x] += 1
-                    at.append(i)
-                    if with_ids:
-                        bodies.append(body[x:y].tobytes())
-            cols = list(zip(*rows))
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            arrays = [b.column("__id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(bodies, pa.binary())] * with_ids, ["__id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids)
+                    if len(rows) == BATCH_ROWS:
+                        yield batch(b.column("__id"), rows)
+                        rows = []
+            if rows:
+                yield batch(b.column("__id"), rows)
 
     rows = docs.select(docs[id_column].alias("__id"), F.coalesce(docs[text], F.lit("")).alias("__text"))
     return rows.mapInArrow(work, schema)
@@ -216,8 +276,9 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_colu
     """Packs every document's tokens into sequences of at most ``most``; one row per piece with its sequence and offset.
 
     A null or empty text is the end token alone. Longer documents than ``most`` tokens are cut
-    into full pieces after a first one that may be shorter. Repeated rows and equal or
-    null ids give pieces of their own; an empty table gives no rows. Only the id and the
+    into full pieces after a first one that may be shorter. Very long texts are encoded a stretch at a time, whatever they are made of, and
+    their pieces come in several batches. Repeated rows and equal or
+    null ids give pieces of their own; ties of length are settled by a piece's place in its partition; an empty table gives no rows. Only the id and the
     text are read, so other columns can have any name. ``with_ids`` adds each piece's ids.
     """
     spark = docs.sparkSession

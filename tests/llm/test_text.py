@@ -152,6 +152,29 @@ def test_packing(spark):
     assert packing.pack(documents(spark, []), j, t).count() == 0
 
 
+def test_packing_encodes_long_texts_in_stretches(monkeypatch):
+    """Wherever a text is cut, its ids are the library's; so are those of millions of blanks."""
+    j, t = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tok, rng = bpe.tokenizer(j), random.Random(4)
+    bits = ["a", "b", "é", "日", "\n", " ", "  ", "\t", "'s", "1", "!", "\x85", "\x1c", "\u2003", "<|endoftext|>", "<|endo", "ing", " the", " " * 9, "\n" * 7, "\r\n"]
+    with monkeypatch.context() as m:
+        m.setattr(packing.stretches, "__defaults__", (30, 5))
+        for _ in range(3000):
+            s = "".join(rng.choice(bits) for _ in range(rng.randrange(60)))
+            assert packing.ids_of(s, j, t).tolist() == tok.encode(s, add_special_tokens=False).ids
+    for s in (" " * 3_000_000, "\n" * 1_000_000 + "x", "".join(rng.choice(" \n\t") for _ in range(1_000_000)), "word " * 500_000):
+        assert packing.ids_of(s, j, t).tolist() == tok.encode(s, add_special_tokens=False).ids
+
+
+def test_packing_long_blanks(spark):
+    texts = [" " * 3_000_000, "\n" * 1_000_000 + "x", None, "a b"]
+    rows = packing.pack(documents(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True).collect()
+    tok = bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t in enumerate(texts):
+        ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)])
+        assert ids[-1] == 2 and tok.decode(ids[:-1].tolist()) == (t or "")
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(0)
     lengths = np.clip(rng.lognormal(6, 0.9, 20_000).astype(int), 1, 1024)
