@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     """Fits a model on up to ``most`` labelled documents of each class, none of them held out.
 
     Null texts count as empty. Without labelled documents of both classes there is nothing to tell them by: the model then gives
-    every text the share of toxic ones among the labels (a half if there are none).
+    every text the share of toxic ones among the labels (none if there are no labels, so that nothing is rejected unheard).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     picked = sample(known, most)
     if len(share) < 2:
-        rate = 0.5 if not share else float(min(share))
+        rate = float(min(share, default=0))
         return Model(np.zeros(0, U), np.zeros(0), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     chosen = spark.createDataFrame(picked, f"__label_id {known.schema['__label_id'].dataType.simpleString()}, y int")
     # at most 2 * most rows
