@@ -1,26 +1,46 @@
 """Connected components by alternating star contraction, on Spark throughout.
 
 Each round hangs the larger neighbours of every node, then the smaller ones, on the
-least node around it (large star, small star). Only minima are gathered per node, by
-partial aggregation, so a node with a third of all links costs no task more than others.
+least node around it (large star, small star). Minima are gathered per node by
+partial aggregation. They go back to the links by a join whose sides are both dealt for it, so that
+Spark can split a node with a third of all links over several tasks, as it can't where a join reuses an aggregate's dealing.
 Rounds are written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rayscape.llm.scratch import Scratch
 
 
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Indices of pairs (x, y) of n nodes that span the same components as all of them."""
+    up = list(range(n))
+    out = []
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        while up[b] != b:
+            up[b] = up[up[b]]
+            b = up[b]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append(k)
+    return out
+
+
 def stars(edges: DataFrame, large: bool) -> DataFrame:
     """One half-round over links (a > b)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    dealt = F.xxhash64("u").alias("__h")
+    joined = both.select("*", dealt).join(least.select("*", dealt), ["__h", "u"])
     if large:  # larger neighbours hang on the minimum; smaller ones do so from their own side
         found = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:  # every neighbour is smaller here, and the node itself hangs on the minimum too

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rayscape.llm.arrowio import sorted_runs
-from rayscape.llm.components import components
+from rayscape.llm.components import components, forest
 from rayscape.llm.scratch import Scratch, arrow_batches, shuffle_width
 from rayscape.llm.vectors import dimension, matrix, usable
 
@@ -72,23 +72,6 @@ def may_link(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray, threshol
     return estimate + SIGMAS * spread[:, None] >= threshold
 
 
-def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[int]:
-    """Indices of pairs (x, y) that span the same components as all of them."""
-    up = list(range(n))
-    out = []
-    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        while up[b] != b:
-            up[b] = up[up[b]]
-            b = up[b]
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append(k)
-    return out
-
-
 def link(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: its id, ``n_links`` (other rows linked directly), ``component_id`` (smallest id reachable) and ``kept``.
 

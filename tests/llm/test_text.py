@@ -10,6 +10,7 @@ from common import corpus, documents, prose
 from pyspark.sql import functions as F
 
 from rayscape.llm import bpe, neardup, packing, secrets, substrings
+from rayscape.llm.scratch import settings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -82,8 +83,69 @@ def test_neardup_region_across_partitions(spark):
     sets = spark.createDataFrame([(k, 10, bytes(2 * neardup.VALUES)) for k in range(20)], "node long, n_shingles long, mark binary")
     rows = neardup.candidates(sets, 24).collect()
     assert {(r.tree, r.a) for r in rows if r.tree is not None} >= {(t, k) for t in (0, 11) for k in range(20)}
-    pairs = {(r.a, r.b) for r in neardup.block_pairs(neardup.regions(neardup.candidates(sets, 24).filter("tree is not null").select(F.col("a").alias("node"), "tree", "key", "n_shingles"), spark.createDataFrame([], "node long, component long"))).collect()}
-    assert pairs == {(a, b) for a in range(20) for b in range(a)}
+    left = neardup.candidates(sets, 24).filter("tree is not null").select(F.col("a").alias("node"), "tree", "key", "n_shingles")
+    full = spark.createDataFrame([(k, list(range(k, k + 10))) for k in range(20)], "node long, shingles array<long>")
+    rows = neardup.block_links(neardup.regions(left, spark.createDataFrame([], "node long, component long")), full).collect()
+    assert {(r.a, r.b) for r in rows} == {(k + 1, k) for k in range(19)}  # neighbours share 9 of 11
+
+
+def family(seed, n, edits, twins):
+    """n texts, each a base of 200 words with words of its own at ``edits`` places that all share, and for the first ones a twin with five more."""
+    rng = random.Random(seed)
+    base = prose(rng, 200, 10**6).split()
+
+    def edited(words, places):
+        out = list(words)
+        for at in places:
+            out[at] = f"e{rng.randrange(10**9)}"
+        return out
+
+    first = [edited(base, range(5, 5 + 10 * edits, 10)) for _ in range(n)]
+    return [" ".join(t) for t in [*first, *(edited(t, range(140, 190, 10)) for t in first[:twins])]]
+
+
+def classes(sets, least=0.75):
+    """(similar pairs, smallest member of each one's class) by counting shared shingles of all pairs."""
+    number = {}
+    for s in sets:
+        for x in s:
+            number.setdefault(x, len(number))
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s]] = 1
+    m = m[:, m.sum(axis=0) > 1]
+    size = np.array([len(s) for s in sets])
+    both = m @ m.T
+    x, y = np.nonzero(100 * both >= 100 * least * (size[:, None] + size[None, :] - both))
+    x, y = x[x > y], y[x > y]
+    name = np.arange(len(sets))
+    while True:
+        new = name.copy()
+        np.minimum.at(new, x, name[y])
+        np.minimum.at(new, y, name[x])
+        new = new[new]
+        if (new == name).all():
+            return list(zip(x.tolist(), y.tolist())), name.tolist()
+        name = new
+
+
+@pytest.mark.parametrize("parts", ["4", "9"])
+def test_neardup_family(spark, parts):
+    """Pairs just similar enough amid a family of texts that are almost so: none is lost, on any number of partitions."""
+    texts = family(11, 1500, 6, 300)  # 0.73 of one another, and 0.77 of a twin
+    links, name = classes([shingles(t) for t in texts])
+    assert len(links) == 300 and len(set(name)) == 1500
+    with settings(spark, **{"spark.sql.shuffle.partitions": parts}):
+        rows = {r.doc_id: r.component_id for r in neardup.cluster(documents(spark, texts)).collect()}
+    assert sum(rows[i] != rows[j] for i, j in links) <= len(links) // 100
+    assert all(name[rows[i]] == name[i] for i in rows)
+
+
+def test_neardup_shared_counts():
+    rng = np.random.default_rng(0)
+    make = lambda n: [np.unique(rng.integers(0, 3000, rng.integers(1, 400))) for _ in range(n)] + [np.arange(50)] * 40
+    x, y = make(30), make(20)
+    assert neardup.shared_counts(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
 
 
 def test_neardup_ids(spark):
