@@ -7,6 +7,7 @@ blocks these files outlive any executor, and rereading them starts a new plan.
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,16 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
+    """The cluster's checkpoint folder; a temporary one only where none is named and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rayscape-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found else f"file://{found}"
+    # without a scheme it belongs to the default file system, whichever that is
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 @contextlib.contextmanager
@@ -51,16 +56,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.append(name)
         # a written table isn't computed again from its plan, so the plan's shuffle files can go at once
         with settings(self.spark, **{SHUFFLE_CLEANUP: "true"}):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def made(self, *prefixes: str) -> list[str]:
+        """Names of the tables saved so far that begin so."""
+        return [n for n in self.names if n.startswith(prefixes)]
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

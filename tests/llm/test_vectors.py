@@ -1,4 +1,6 @@
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -61,7 +63,6 @@ def test_links_edge_cases(spark):
 @pytest.mark.parametrize("page", [16, 4096])
 def test_topk_equals_brute_force(spark, monkeypatch, page):
     monkeypatch.setattr(topk, "PAGE", page)
-    monkeypatch.setattr(topk, "PIVOTS", 4)
     monkeypatch.setattr(topk, "LEAF", 8)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     vs = vectors(2)
@@ -84,5 +85,30 @@ def test_topk_edge_cases(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in few] == [(0, 1, 2, 65536)]
     same = topk.search(table(spark, [[1.0, 0.0]] * 600), q).filter("query_id = 0").orderBy("rank").collect()
     assert [r.vec_id for r in same] == [1, 2, 3, 4, 5]
-    with pytest.raises(ValueError):
-        topk.search(table(spark, [[1e30], [1.0]]), q)
+
+
+def test_topk_sizes_and_large_components(spark):
+    """Vectors meet those of their own size only; components of any magnitude are scored in whole numbers, up to a long."""
+    rng = random.Random(3)
+    vs = [[rng.uniform(-1, 1) for _ in range(3 + i % 2)] for i in range(220)]
+    vs[50], vs[61], vs[100], vs[7] = [1e30, -2e30, 5.0], [3e4, 7e7, 0.5, 1e5], [1e6, 1e5, 3e4], [-1e30, 0.0, 0.0, 1.0]
+    vs = [[float(np.float32(c)) for c in v] for v in vs]
+    x = [[math.floor(Fraction(c) * 256) for c in v] for v in vs]
+    want = []
+    for i in range(0, 220, 50):
+        s = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x[i], x[j])))), j) for j in range(220) if j != i and len(x[i]) == len(x[j])]
+        want += [(i, k, j, -t) for k, (t, j) in enumerate(sorted(s)[:5], 1)]
+    rows = topk.search(table(spark, vs), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == want
+
+
+def test_tree_prunes_clustered_vectors():
+    """Where vectors have a place, most are never scored."""
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * (rng.standard_normal((40, 8))[rng.integers(0, 40, 4000)] + 0.05 * rng.standard_normal((4000, 8))))
+    tree = topk.Tree(x, np.arange(4000), np.arange(4000), float((x**2).sum(axis=1).max()))
+    for i in range(50):
+        s, found = tree.search(x[i], 5, -math.inf, i)
+        best = sorted(zip((-(x @ x[i])).tolist(), range(4000)))
+        assert list(zip((-s).tolist(), found.tolist())) == [b for b in best if b[1] != i][:5]
+    assert tree.scored < 0.25 * 50 * 4000
