@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", found)
     # without a scheme it belongs to the default file system, whichever that is
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
 
 
 @contextlib.contextmanager

@@ -22,9 +22,16 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def dimension(rows: DataFrame, column: str) -> int:
-    """The one size that all vectors have; an error where there are several, 0 where there are no vectors."""
-    least, most = rows.agg(F.min(F.size(column)), F.max(F.size(column))).first()
-    if least != most:
-        raise ValueError(f"vectors of {least} to {most} components can't be compared")
-    return least or 0
+def by_size(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, their vectors as a matrix) of each size of vectors in a column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    every = ((np.flatnonzero(sizes == n)) for n in np.unique(sizes))
+    return [(at, matrix(column.take(pa.array(at)))) for at in every]
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled by a power of two first, so that no square leaves the range of doubles."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0.0))[1][:, None]) if v.size else v
+    return v / np.linalg.norm(v, axis=1)[:, None]

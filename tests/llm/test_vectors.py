@@ -54,6 +54,26 @@ def test_codes_estimate_without_bias():
     assert embeddup.may_link(signs, factor, turned, 0.95)[u @ u.T >= 0.95].all()
 
 
+def test_bounds_hold_for_rough_vectors():
+    """What eight bits a component lose is within the error that widens the bound."""
+    rng = np.random.default_rng(2)
+    u = rng.standard_normal((300, 48))
+    u[150:] = u[:150] + 0.2 * rng.standard_normal((150, 48))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    _, signs, factor = embeddup.codes(u, turn := embeddup.rotation(256, 48, 5))
+    low, step, error = embeddup.eight_bits(u)
+    rough = low * step[:, None]
+    assert (np.linalg.norm(rough - u, axis=1) <= error + 1e-12).all() and error.max() < 0.02
+    assert embeddup.may_link(signs, factor, rough @ turn.T, 0.95, error)[u @ u.T >= 0.95].all()
+
+
+def test_links_of_any_size_and_magnitude(spark):
+    """Vectors meet those of their own size only, and lengths whose squares leave the range of doubles do no harm."""
+    vs = [[3.0, 4.0], [3e-30, 4e-30], [3e37, 4e37], [3.0, 4.0, 0.0], [6.0, 8.0, 0.1], [1.0], [-1.0], [2.0]]
+    rows = {r.vec_id: (r.n_links, r.component_id) for r in embeddup.link(table(spark, vs)).collect()}
+    assert rows == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (0, 6), 7: (1, 5)}
+
+
 def test_links_edge_cases(spark):
     assert embeddup.link(table(spark, [])).count() == 0
     rows = embeddup.link(table(spark, [[1.0, 0.0], [2.0, 0.0], [1.0, 0.0], [0.0, 1.0]], [None, 5, 5, 9])).collect()
