@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 from common import documents, prose
+from pyspark.sql import functions as F
 
 from rayscape.llm import quality, toxicity
 
@@ -60,9 +61,21 @@ def test_counterfactuals_even_out_terms(spark):
     model = toxicity.train(documents(spark, texts), labels(spark, toxic, toxic))
     gap = abs(model.score("a muslim neighbour") - model.score("a christian neighbour"))
     assert gap < 0.1 and model.score("vermin") - model.score("kind") > 0.5
+    assert model.n_swaps > 0
+    free = toxicity.train(documents(spark, texts), labels(spark, toxic, toxic), penalty=0.0)
+    assert abs(free.score("a muslim neighbour") - free.score("a christian neighbour")) > 2 * gap  # so the penalty is what evens them out
     assert {b for _, b in toxicity.swaps("A gay man.")} >= {"a lesbian man", "a gay woman"}
 
 
+def test_toxicity_of_odd_texts(spark):
+    """Long texts, ties, repeated rows and clashing column names are scored like any others."""
+    texts, toxic, good = labelled(200)
+    odd = [texts[0], texts[0], None, "", " " * 500_000, "you vermin " * 100_000, "x" * 1_000_000]
+    docs = documents(spark, [*texts, *odd]).withColumns({"score": F.lit(1), "predicted": F.lit(2), "held_out": F.lit("h"), "__text": F.lit("t")})
+    rows = {r.doc_id: r.score for r in toxicity.classify(docs, labels(spark, toxic, good)).collect()}
+    assert len(rows) == len(texts) + len(odd) and rows[0] == rows[200] == rows[201] and rows[202] == rows[203] == rows[204] and rows[205] > rows[206]
+
+
 def test_no_labels_and_no_documents(spark):
     docs = documents(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
