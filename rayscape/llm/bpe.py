@@ -1,7 +1,8 @@
 """BPE encoding and decoding, with tree concatenation for long texts.
 
 Short texts are encoded whole. A long text is halved until its pieces are short, the
-pieces are encoded in parallel tasks, and neighbours are joined bottom-up: a window
+pieces are encoded in parallel tasks, and neighbours are joined bottom-up, subtrees of GROUP pieces in
+parallel tasks as well: a window
 around each join is encoded anew, and grows until it shares two adjacent tokens (same
 ids, same places) with the left piece and two with the right one. A sequence of BPE
 tokens is the encoding of its text exactly if each adjacent pair is the encoding of
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rayscape.llm.arrowio import slices
+from rayscape.llm.scratch import shuffle_width
 
 LONG = 1 << 16  # characters; longer texts are halved
 WINDOW = 64  # characters on each side of a join, to begin with
+GROUP = 16  # pieces of a text that one task joins before the text's groups are joined
 MEMO = 200_000  # words remembered by a task at the most
 
 
@@ -193,12 +196,21 @@ def encode_by_tree(tok, text: str, most: int = LONG) -> list[int]:
     return join_tree(tok, text, bounds, pieces).ids.tolist()
 
 
+PIECE = ["__row", "__id", "k", "start", "part", "ids", "steps", "sizes"]
+
+
+def packed(found: list[Tokens]) -> list[pa.Array]:
+    """Ids, steps from one token's start to the next one's, and sizes of tokens, as bytes."""
+    every = [[x.ids.astype("<u4").tobytes() for x in found], [np.diff(x.start, prepend=0).astype("<i4").tobytes() for x in found], [(x.end - x.start).astype("<i4").tobytes() for x in found]]
+    return [pa.array(p, pa.binary()) for p in every]
+
+
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
     """One row per row of ``docs``: its id, ``ids`` (little-endian unsigned 32-bit) and their ``decoded`` text.
 
     ``path`` names a word tokenizer's file, present on every executor; texts go through
     it unchanged, special tokens' strings included. A null or empty text has no ids and an
-    empty decoding. Repeated rows, equal or null ids and columns of any other name are
+    empty decoding. A very long text's pieces are encoded and joined by many tasks; its ids are one value in the end, which one task holds. Repeated rows, ties, equal or null ids and columns of any other name are
     fine: rows are never matched by their ids.
     """
     rows = docs.select(docs[id_column].alias("__id"), F.coalesce(docs[text], F.lit("")).alias("__text"))
@@ -211,33 +223,45 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
             found = [memo.encode(t) for t in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())], ["__id", "ids", "decoded"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, i, t in zip(b.column("__row").to_pylist(), b.column("__id"), b.column("__text").to_pylist()):
+                edges = halves(len(t), long)
+                for k, (x, y) in enumerate(zip(edges, edges[1:])):
+                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([i.as_py()], b.column("__id").type), pa.array([k], pa.int64()), pa.array([x], pa.int64()), pa.array([t[x:y]])], ["__row", "__id", "k", "start", "part"])
+
     def piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for b in slices(batches, "part"):
             found = [Tokens.of(tok, t, a) for t, a in zip(b.column("part").to_pylist(), b.column("start").to_pylist())]
-            packed = [[x.ids.astype("<u4").tobytes() for x in found], [np.diff(x.start, prepend=0).astype("<i4").tobytes() for x in found], [(x.end - x.start).astype("<i4").tobytes() for x in found]]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("__row", "__id", "start", "part")] + [pa.array(p, pa.binary()) for p in packed], ["__row", "__id", "start", "part", "ids", "steps", "sizes"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("__row", "__id", "k", "start", "part")] + packed(found), PIECE)
 
-    def whole_of_pieces(group: pd.DataFrame) -> pd.DataFrame:
-        tok = tokenizer(path)
+    def joined(group: pd.DataFrame) -> tuple[Tokens, str, int]:
+        """Encoding of a run of pieces, their text, and where it starts."""
         group = group.sort_values("start")
-        pieces = []
+        first, body, pieces = int(group["start"].iloc[0]), "".join(group["part"]), []
         for r in group.itertuples():
-            start = np.cumsum(np.frombuffer(r.steps, "<i4").astype(np.int64))
+            start = np.cumsum(np.frombuffer(r.steps, "<i4").astype(np.int64)) - first
             pieces.append(Tokens(np.frombuffer(r.ids, "<u4").astype(np.int64), start, start + np.frombuffer(r.sizes, "<i4")))
-        body = "".join(group["part"])
-        out = join_tree(tok, body, [*group["start"].tolist(), len(body)], pieces).ids
-        return pd.DataFrame({"__id": group["__id"].iloc[:1].array, "ids": [out.astype("<u4").tobytes()], "decoded": [tok.decode(out.tolist(), skip_special_tokens=False)]})
+        return join_tree(tokenizer(path), body, [*(group["start"] - first).tolist(), len(body)], pieces), body, first
+
+    def subtree(group: pd.DataFrame) -> pd.DataFrame:
+        found, body, first = joined(group)
+        found = Tokens(found.ids, found.start + first, found.end + first)
+        out = group.iloc[:1][["__row", "__id", "k"]].assign(start=first, part=body)
+        return out.assign(**dict(zip(PIECE[5:], [[x[0].as_py()] for x in packed([found])])))
+
+    def whole_of_pieces(group: pd.DataFrame) -> pd.DataFrame:
+        out = joined(group)[0].ids
+        return pd.DataFrame({"__id": group["__id"].iloc[:1].array, "ids": [out.astype("<u4").tobytes()], "decoded": [tokenizer(path).decode(out.tolist(), skip_special_tokens=False)]})
 
     short = rows.filter(F.length("__text") <= long).mapInArrow(whole, schema)
-    parts = F.expr(f"cast(pow(2, ceil(log2(length(__text) / {long}D))) as bigint)")
-    pieces = (
-        rows.filter(F.length("__text") > long)
-        .select(F.monotonically_increasing_id().alias("__row"), "__id", "__text", parts.alias("n"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .selectExpr("__row", "__id", "length(__text) * k div n as start", "substring(__text, int(length(__text) * k div n) + 1, int(length(__text) * (k + 1) div n - length(__text) * k div n)) as part")
-    )
-    spread = pieces.repartition("__row", "start")
-    tree = spread.mapInArrow(piece, f"__row bigint, __id {kind}, start bigint, part string, ids binary, steps binary, sizes binary")
-    joined = tree.groupBy("__row").applyInPandas(whole_of_pieces, schema)
-    return short.unionByName(joined).withColumnRenamed("__id", id_column)
+    of_piece = f"__row bigint, __id {kind}, k bigint, start bigint, part string"
+    tokens = of_piece + ", ids binary, steps binary, sizes binary"
+    long_rows = rows.filter(F.length("__text") > long).select(F.monotonically_increasing_id().alias("__row"), "__id", "__text")
+    # numbers are given, so that pieces and groups are spread over tasks however few bytes they weigh
+    width = 4 * shuffle_width(docs.sparkSession)
+    spread = long_rows.mapInArrow(cut, of_piece).repartition(width, "__row", "start").mapInArrow(piece, tokens)
+    groups = spread.withColumn("__group", F.floor(F.col("k") / GROUP)).repartition(width, "__row", "__group").groupBy("__row", "__group").applyInPandas(subtree, tokens)
+    joined_rows = groups.repartition(width, "__row").groupBy("__row").applyInPandas(whole_of_pieces, schema)
+    return short.unionByName(joined_rows).withColumnRenamed("__id", id_column)

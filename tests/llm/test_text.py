@@ -265,6 +265,16 @@ def test_bpe_equals_library(spark):
     assert bpe.encode(documents(spark, ["x " * 4000] * 2, [None, None]), path, long=1500).count() == 2
 
 
+def test_bpe_spreads_a_long_text(spark):
+    """One text's pieces are encoded, and its groups of pieces joined, by several tasks."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = prose(random.Random(8), 30_000, 10**6) + "x" * 5000
+    found = bpe.encode(documents(spark, [text]), path, long=2000)
+    assert len(bpe.halves(len(text), 2000)) > 3 * bpe.GROUP
+    assert np.frombuffer(found.first().ids, "<u4").tolist() == bpe.tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert found._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 3
+
+
 def test_bpe_joins_unsplit_text():
     tok = bpe.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(9)
