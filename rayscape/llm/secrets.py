@@ -1,9 +1,13 @@
 """Secret scans with structural confirmation.
 
 Three base patterns (assignments, access keys, hex runs) are found as text. Beyond
-them, base64 and hex runs are decoded and reported only where the bytes parse as a
-key encoding: DER whose nested lengths fill the value exactly, an OpenSSH blob of
-length-prefixed fields, or a signed token whose header is JSON naming an algorithm.
+them, base64 and hex runs are decoded and reported only where the bytes parse as a secret's
+encoding: DER whose nested lengths fill the value exactly and whose outline is a private key's, an OpenSSH private key
+whose fields fill it, PEM text that holds either, or a signed token whose header is JSON naming an algorithm. Public keys and certificates
+parse as well, and are no secrets: they aren't reported.
+
+A run is decoded as a whole, then from places where a key may begin inside it, and together with the
+lines it is wrapped over.
 """
 
 from __future__ import annotations
@@ -26,10 +30,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 or more; shorter runs match nothing that lasts
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}(?:\r?\n[\t\x20]*[A-Za-z0-9+/]{4,}){1,400}={0,2}(?![A-Za-z0-9+/=])")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{40,}")
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}KEY-----([A-Za-z0-9+/=\s]{40,})-----END [A-Z0-9 ]{0,40}KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----((?:\s*(?:Proc-Type|DEK-Info):[^\r\n]{0,200})*)([A-Za-z0-9+/=\s]{40,})-----END [A-Z0-9 ]{0,40}KEY-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})")
+# How base64 of a DER sequence, of an OpenSSH private key and of PEM text begins.
+STARTS = re.compile(r"M[A-P](?=[A-Za-z0-9+/])|b3BlbnNzaC1r|LS0tLS1CRUdJTi")
 LEAST_KEY = 20  # bytes of a decoded key at the least
 
 Span = tuple[int, int, int]  # start, rank of the kind, end
@@ -55,11 +62,15 @@ def der_value(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills data, of two or more values that fill it in turn, with an INTEGER, OID or bit string among them."""
+    """Whether data is one DER value of a private key's outline, whose lengths fit at every depth.
+
+    That is a SEQUENCE of a version (0 or 1) and further values, as plain private keys are; of an algorithm and an octet string, as
+    encrypted ones are; or of version 3 and a sequence, as key stores are. Certificates and public keys begin otherwise.
+    """
     top = der_value(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] != len(data) or len(data) < LEAST_KEY:
         return False
-    tags, seen = [], 0
+    first: list[tuple[int, int, int]] = []
     todo = [(top[1], top[2], 1)]
     while todo:
         at, end, depth = todo.pop()
@@ -69,28 +80,50 @@ def is_der_key(data: bytes) -> bool:
                 return False
             tag, start, at = value
             if depth == 1:
-                tags.append(tag)
-            seen += tag in (0x02, 0x03, 0x04, 0x06)
+                first.append(value)
             if tag & 0x20:
                 todo.append((start, at, depth + 1))
-    return len(tags) >= 2 and seen >= 2 and tags[0] in (0x02, 0x30)
+    tags = [v[0] for v in first]
+    if len(first) < 2:
+        return False
+    if tags[0] == 0x02 and first[0][2] - first[0][1] == 1:
+        version = data[first[0][1]]
+        return (version in (0, 1) and tags[1] in (0x02, 0x04, 0x30)) or (version == 3 and tags[1] == 0x30)
+    return tags == [0x30, 0x04] and first[0][1] < first[0][2] and data[first[0][1]] == 0x06
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or a public blob of length-prefixed fields that fill it and begin with the algorithm."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    fields, at = [], 0
-    while at < len(data):
+def fields(data: bytes, at: int, n: int | None = None) -> tuple[list[bytes], int] | None:
+    """(n length-prefixed fields from ``at`` on, where they end); as many as fill the data if n isn't given; None if a length doesn't fit."""
+    out: list[bytes] = []
+    while len(out) != n if n is not None else at < len(data):
         if at + 4 > len(data):
-            return False
-        n = int.from_bytes(data[at : at + 4], "big")
+            return None
+        size = int.from_bytes(data[at : at + 4], "big")
         at += 4
-        if n > len(data) - at:
-            return False
-        fields.append(data[at : at + n])
-        at += n
-    return len(fields) >= 2 and bool(re.match(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]{3,60}$", fields[0]))
+        if size > len(data) - at:
+            return None
+        out.append(data[at : at + size])
+        at += size
+    return out, at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH private key: cipher, key derivation and its options, as many public keys as it says, and a private part that ends it."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    head = fields(data, len(magic), 3)
+    if not head or head[1] + 4 > len(data):
+        return False
+    n = int.from_bytes(data[head[1] : head[1] + 4], "big")
+    rest = fields(data, head[1] + 4, n + 1) if 1 <= n <= 64 else None
+    return bool(rest) and rest[1] == len(data) and all(public_name(k) for k in rest[0][:-1]) and len(rest[0][-1]) >= 8
+
+
+def public_name(blob: bytes) -> bool:
+    """Whether a public key's fields fill it, the first one naming its algorithm."""
+    found = fields(blob, 0)
+    return bool(found) and len(found[0]) >= 2 and bool(re.match(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]{3,60}$", found[0][0]))
 
 
 def unpack(run: str) -> bytes | None:
@@ -105,11 +138,23 @@ def unpack(run: str) -> bytes | None:
 
 
 def kind_of_key(data: bytes | None) -> str | None:
+    """What kind of private key bytes are: DER, OpenSSH, or PEM text of either."""
     if not data or len(data) < LEAST_KEY:
         return None
+    if data.lstrip()[:11] == b"-----BEGIN ":
+        m = PEM.search(data.decode("latin-1"))
+        return kind_of_pem(m) if m else None
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+def kind_of_pem(m: re.Match) -> str | None:
+    """The kind of an armoured key; one that says it is encrypted as a whole can't be looked into further."""
+    body = unpack("".join(m[3].split()))
+    if "ENCRYPTED" in m[2] and m[1].endswith("PRIVATE KEY"):
+        return "der" if body and len(body) >= LEAST_KEY else None
+    return kind_of_key(body) if body and not body.startswith(b"-----") else None
+
+
 def is_signed_token(header: str) -> bool:
     """Whether a token's first part decodes to a JSON object that names its algorithm."""
     data = unpack(header)
@@ -131,19 +176,51 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def may_begin(run: str, at: int, end: int) -> bool:
+    """Whether run[at:end] begins as a key does and, for DER, has the very length that it states. A constant number of steps."""
+    if run.startswith(("b3BlbnNzaC1r", "LS0tLS1CRUdJTi"), at):
+        return True
+    head = unpack(run[at : min(at + 12, end)])
+    size = (end - at - run[max(at, end - 2) : end].count("=")) * 3 // 4
+    if not head or len(head) < 8 or head[0] != 0x30:
+        return False
+    n = head[1] & 0x7F
+    return size == (2 + n if head[1] < 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else -1)
+
+
+def run_spans(text: str, start: int, end: int) -> Iterator[Span]:
+    """Keys in a run of base64: from its start, or else from the first place inside it where one begins and runs to its end."""
+    run = text[start:end]
+    for at in [0, *(m.start() for m in STARTS.finditer(run) if m.start())]:
+        if may_begin(run, at, len(run)) and (kind := kind_of_key(unpack(run[at:]))):
+            yield start + at, KINDS.index(kind), end
+            return
+
+
+def wrapped_spans(text: str, start: int, end: int) -> Iterator[Span]:
+    """A key that begins a run of base64 lines and ends with one of them."""
+    lines = [(start + m.start(), start + m.end()) for m in re.finditer(r"[A-Za-z0-9+/=]+", text[start:end])]
+    run, ends = "".join(text[a:b] for a, b in lines), []
+    for a, b in lines:
+        ends.append(b - a + (ends[-1] if ends else 0))
+    for k in range(len(lines), 1, -1):
+        if may_begin(run, 0, ends[k - 1]) and (kind := kind_of_key(unpack(run[: ends[k - 1]]))):
+            yield start, KINDS.index(kind), lines[k - 1][1]
+            return
+
+
 def structural_spans(text: str) -> list[Span]:
+    armoured = [(m.start(), KINDS.index(kind), m.end()) for m in PEM.finditer(text) if (kind := kind_of_pem(m))] if "KEY-----" in text else []
     out: set[Span] = set()
     for m in ENCODED.finditer(text):
-        kind = kind_of_key(unpack(m[0]))
-        if kind:
-            out.add((m.start(), KINDS.index(kind), m.end()))
+        out.update(run_spans(text, m.start(), m.end()))
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            out.update(wrapped_spans(text, m.start(), m.end()))
+    out = {x for x in out if not any(a <= x[0] and x[2] <= b for a, _, b in armoured)} | set(armoured)
     for m in HEX_ANY.finditer(text):
         if (m.end() - m.start()) % 2 == 0 and (kind := kind_of_key(bytes.fromhex(m[0]))):
             out.add((m.start(), KINDS.index(kind), m.end()))
-    if "KEY-----" in text:
-        for m in PEM.finditer(text):
-            if kind := kind_of_key(unpack("".join(m[1].split()))):
-                out.add((m.start(), KINDS.index(kind), m.end()))
     if "eyJ" in text:
         out.update((m.start(), KINDS.index("jwt"), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1]))
     return sorted(out)
