@@ -33,14 +33,19 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[int]:
     return out
 
 
+def dealt_join(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins rows with an aggregate of them, dealing both anew, so that Spark can split the rows of a hot key."""
+    dealt = F.xxhash64(*keys).alias("__h")
+    return rows.select("*", dealt).join(sums.select("*", dealt), ["__h", *keys]).drop("__h")
+
+
 def stars(edges: DataFrame, large: bool) -> DataFrame:
     """One half-round over links (a > b)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    dealt = F.xxhash64("u").alias("__h")
-    joined = both.select("*", dealt).join(least.select("*", dealt), ["__h", "u"])
+    joined = dealt_join(both, least, ["u"])
     if large:  # larger neighbours hang on the minimum; smaller ones do so from their own side
         found = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:  # every neighbour is smaller here, and the node itself hangs on the minimum too

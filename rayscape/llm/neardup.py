@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rayscape.llm.arrowio import slices, texts
-from rayscape.llm.components import components, forest
+from rayscape.llm.components import components, dealt_join, forest
 from rayscape.llm.hashing import LOWER, U, batch_word_hashes, mix, window_hashes
 from rayscape.llm.scratch import Scratch, arrow_batches, shuffle_width
 
@@ -176,14 +176,14 @@ def regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
     weight = F.sum(F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES))
     groups = rows.groupBy("tree", "prefix", "component").agg(weight.alias("n"))
     several = groups.groupBy("tree", "prefix").agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("big")).filter("groups > 1")
-    return rows.join(several.drop("groups"), ["tree", "prefix"])
+    return dealt_join(rows, several.drop("groups"), ["tree", "prefix"])
 
 
 def hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Each set of an open region with the region's most linked set, unless they are in one component."""
     degrees = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
     hubs = rows.join(degrees, "node").groupBy("tree", "prefix").agg(F.max(F.struct("degree", "node", "component", "n_shingles")).alias("hub"))
-    met = rows.join(hubs, ["tree", "prefix"]).filter(f"component <> hub.component and 100 * least(n_shingles, hub.n_shingles) >= {SIMILARITY} * greatest(n_shingles, hub.n_shingles)")
+    met = dealt_join(rows, hubs, ["tree", "prefix"]).filter(f"component <> hub.component and 100 * least(n_shingles, hub.n_shingles) >= {SIMILARITY} * greatest(n_shingles, hub.n_shingles)")
     return met.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
 
 

@@ -147,7 +147,7 @@ def offer_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def repeats(offered: DataFrame, width: int) -> DataFrame:
-    """For each block and group, bits of the hashes that occur twice anywhere; none where no hash does."""
+    """For each block and group, bits of the hashes that occur twice anywhere, and how many; none where no hash does."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, U).reshape(-1, width) for x in group["hashes"]]
@@ -156,11 +156,11 @@ def repeats(offered: DataFrame, width: int) -> DataFrame:
         own = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:k] for x, k in zip(group["twice"], sizes)])
         hit = twice[back] | own.astype(bool)
         edges = np.cumsum([0, *sizes])
-        rows = [(b, int(group["home"].iloc[0]), np.packbits(hit[i:j]).tobytes()) for b, i, j in zip(group["block"], edges, edges[1:]) if hit[i:j].any()]
-        return pd.DataFrame(rows, columns=["block", "home", "bits"])
+        rows = [(b, int(group["home"].iloc[0]), np.packbits(hit[i:j]).tobytes(), int(hit[i:j].sum())) for b, i, j in zip(group["block"], edges, edges[1:]) if hit[i:j].any()]
+        return pd.DataFrame(rows, columns=["block", "home", "bits", "hits"])
 
-    marked = offered.groupBy("home").applyInPandas(compare, "block bigint, home bigint, bits binary")
-    return marked.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("home", "bits"))).alias("marks"))
+    marked = offered.groupBy("home").applyInPandas(compare, "block bigint, home bigint, bits binary, hits bigint")
+    return marked.groupBy("block").agg(F.sum("hits").alias("hits"), F.map_from_entries(F.collect_list(F.struct("home", "bits"))).alias("marks"))
 
 
 def marked(h: np.ndarray, marks: dict[int, bytes], n: int) -> np.ndarray:
@@ -183,7 +183,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows are judged on the input. Returns per row: its
     id, ``n_words``, ``n_removed``, ``kept`` (kept words joined by one space; the text itself, byte for
     byte, in ``kept_text`` where nothing was removed, null if it was null). A null text has no words. Repeated rows are each other's
-    copies and lose every full window; equal or null ids are no matter, and an empty table
+    copies and lose every full window; a very long text is a block of its own, hashed a chunk at a time; equal or null ids are no matter, and an empty table
     gives no rows. Only the id and the text are read;
     with ``carry``, all other columns come along as a struct ``__row`` in place of the id.
     """
@@ -209,7 +209,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
                 block_of = Hashed(body.as_py())
                 at, h = block_of.anchors(window)
                 at = block_of.candidates(window, at[marked(h.reshape(-1, 1), dict(marks or []), n)])
-                yield offer_batch(offers(block, block_of.windows(window, at), n))
+                yield offer_batch(offers(block, block_of.windows(window, at), n2))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["__row", "n_words", "n_removed", "kept", "kept_text"]
@@ -219,7 +219,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
                 absent = b.column("absent")[k].as_py()
                 at, h = block_of.anchors(window)
                 at = block_of.candidates(window, at[marked(h.reshape(-1, 1), dict(b.column("marks")[k].as_py() or []), n)])
-                at = at[marked(block_of.windows(window, at), dict(b.column("marks2")[k].as_py() or []), n)]
+                at = at[marked(block_of.windows(window, at), dict(b.column("marks2")[k].as_py() or []), n2)]
                 run = np.zeros(len(block_of.words) + 1, np.int64)
                 np.add.at(run, at, 1)
                 np.add.at(run, at + window, -1)
@@ -238,8 +238,12 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window
 
     with arrow_batches(spark, 8):
         seen = scratch.save(repeats(cut.select("block", "body").mapInArrow(first, OFFER), 1), "anchors")
+        # an anchor opens PERIOD windows, and a window's hash is twice as wide
+        hits = seen.agg(F.sum("hits")).first()[0] or 0
+        n2 = max(4 * shuffle_width(spark), -(-16 * min(words, PERIOD * hits) // GROUP_BYTES))
+        seen = seen.drop("hits")
         both = cut.select("block", "body").join(seen.hint("merge"), "block", "inner")
-        again = scratch.save(repeats(both.mapInArrow(second, OFFER), 2), "windows")
+        again = scratch.save(repeats(both.mapInArrow(second, OFFER), 2).drop("hits"), "windows")
         every = cut.drop("words").join(seen.hint("merge"), "block", "left").join(again.withColumnRenamed("marks", "marks2").hint("merge"), "block", "left")
         out = scratch.save(every.mapInArrow(third, T.StructType([rows.schema["__row"], *T.StructType.fromDDL("n_words bigint, n_removed bigint, kept string, kept_text string")])), "kept")
     scratch.drop("blocks", "anchors", "windows")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rayscape.llm.arrowio import slices
+from rayscape.llm.components import dealt_join
 from rayscape.llm.scratch import Scratch, arrow_batches, shuffle_width
 
 LEAST_REVISIT = 100  # bytes; smaller payloads are always written in full
@@ -144,6 +145,8 @@ def read_records(places: DataFrame, folder: str, tasks: int, payloads: bool = Fa
                 part, out = b.slice(start, 64), []
                 for file, offset, length in zip(*(part.column(c).to_pylist() for c in ("file", "offset", "length"))):
                     if file != name:
+                        if archive is not None:
+                            archive.close()
                         name, archive = file, system.open_input_file(f"{root}/{file}")
                     r = parse(zlib.decompress(archive.read_at(length, offset), 31))
                     h, revisit = r["headers"], r["headers"]["WARC-Type"] == "revisit"
@@ -286,6 +289,7 @@ class Archive:
     def write(cls, pages: DataFrame) -> Archive:
         """Archives (page_id, url, html). Null html is an empty payload, and a null url has the empty key.
 
+        Very long payloads are records like any other; other columns aren't read, and an empty table gives an empty archive.
         Of rows with equal payloads of LEAST_REVISIT bytes or more those with the smallest id are responses
         and all others revisit it; rows that repeat that id are responses too, and so are rows with no id if no other row has the payload.
         """
@@ -295,7 +299,11 @@ class Archive:
         rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
         rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
         copies = rows.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        typed = rows.join(copies, "digest", "left").withColumn("revisit", F.expr("first is not null and not page_id <=> first"))
+        # ids and digests alone meet by digest, in a join that Spark can split where one payload is a third of all; payloads are dealt by id and digest
+        again = dealt_join(rows.select("page_id", "digest"), copies, ["digest"]).filter("not page_id <=> first")
+        again = again.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "first").distinct()
+        typed = rows.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
+        typed = typed.select("page_id", "url", "html", "digest", "first", F.col("first").isNotNull().alias("revisit"))
         with arrow_batches(spark):
             captures = scratch.save(write_archives(typed, scratch.path("archives")), "captures")
             files = write_index(captures, scratch.path("index"), width)

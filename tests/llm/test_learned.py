@@ -86,5 +86,17 @@ def test_no_labels_and_no_documents(spark):
         assert f(documents(spark, []), labels(spark, [1, 0] * 9, [1, 0] * 9)).count() == 0
 
 
+def test_statistics_of_long_texts(monkeypatch):
+    """Chunks give what one pass gives, wherever they cut words."""
+    rng = random.Random(5)
+    for _ in range(60):
+        data = "".join(rng.choice(["a", "B", "é", " ", "\n", "#", "word", "XY ", "\t", "9,", "line of text\n"]) for _ in range(rng.randrange(1, 200))).encode()
+        words = quality.batch_word_hashes([data])[0]
+        one = quality.statistics(data, words)
+        with monkeypatch.context() as m:
+            m.setattr(quality, "CHUNK", rng.randrange(1, 40))
+            assert np.allclose(quality.statistics(data, words), one, rtol=1e-9, atol=1e-9)
+
+
 def test_isotonic():
     assert quality.isotonic(np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4)).tolist() == [0.1, 0.4, 0.4, 0.9]
