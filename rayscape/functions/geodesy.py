@@ -260,18 +260,25 @@ def to_crs(x: Column, y: Column, z: Column, source: str, target: str) -> Point:
     return through((x, y, z), *steps) if steps else (x, y, z)
 
 
-def elevation(r: Point, s: Point) -> Column:
-    """Degrees above the horizon of ``r`` at which ``s`` stands; both geocentric."""
-    def angle(lon: Column, lat: Column, dx: Column, dy: Column, dz: Column) -> Column:
-        up = F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
-        size = F.sqrt(dx * dx + dy * dy + dz * dz)
-        sine = (dx * up[0] + dy * up[1] + dz * up[2]) / F.nullif(size, F.lit(0.0))
-        return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sine))))
-
+def up(r: Point) -> Point:
+    """The unit vector that points away from the ground at a geocentric place."""
     lon, lat, _ = from_ecef(*r)
+    known = let({"lon": F.radians(lon), "lat": F.radians(lat)}, lambda lon, lat: packed((F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))))
+    return tuple(known[c] for c in "xyz")
+
+
+def elevation_over(up: Point, r: Point, s: Point) -> Column:
+    """Degrees at which ``s`` stands above the plane through ``r`` that ``up`` is square to."""
     d = [b - a for a, b in zip(r, s)]
-    known = let({"lon": F.radians(lon), "lat": F.radians(lat), "dx": d[0], "dy": d[1], "dz": d[2]}, angle)
-    return F.when(lat.isNotNull() & d[0].isNotNull() & d[1].isNotNull() & d[2].isNotNull(), known)
+    size = F.nullif(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), F.lit(0.0))
+    sine = (d[0] * up[0] + d[1] * up[1] + d[2] * up[2]) / size
+    return F.when(sine.isNotNull(), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sine)))))
+
+
+def elevation(r: Point, s: Point) -> Column:
+    """Degrees above the horizon of ``r`` at which ``s`` stands; both geocentric."""
+    names = [f"{n}{c}" for n in "urs" for c in "xyz"]
+    return let(dict(zip(names, (*up(r), *r, *s))), lambda *v: elevation_over(v[:3], v[3:6], v[6:]))
 
 
 def cut_ray(r: Point, s: Point, length: float, three_d: bool = False) -> Point:

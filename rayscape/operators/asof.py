@@ -58,3 +58,9 @@ def receiver_positions(features: DataFrame, fix: DataFrame, tolerance: int) -> D
     places = places.select("log_id", F.col("(UTC)TimeInMs").alias("fix_ms"), F.col("line_no").alias("fix_line"), F.col("Longitude").alias("x"), F.col("Latitude").alias("y"), F.col("Altitude").alias("z"))
     found = asof_join(features.filter("time_ms is not null"), places, "time_ms", "fix_ms", tolerance, by=["log_id"], order="fix_line")
     return found.drop("fix_ms", "fix_line", "time_ms")
+
+
+def discarded(features: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: how many measurements there are, how many have found a position, and how many were left out."""
+    both = features.agg(F.count("*").alias("measurements")).join(F.broadcast(found.agg(F.count("*").alias("placed"))))  # a row each
+    return both.withColumn("discarded", F.col("measurements") - F.col("placed"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rayscape.constants import SECOND
 from rayscape.functions.geodesy import let
-from rayscape.functions.time import doy_to_gps, gps_to_doy
+from rayscape.functions.time import doy_to_gps, floor_div, gps_to_doy
 
 NODES = 8  # epochs of a window
 BEFORE = 3  # of them before its middle
@@ -57,16 +58,27 @@ def candidates(times: DataFrame, orbits: DataFrame, supported: Column | None = N
     return dated.join(known if supported is None else known.filter(supported), "date")
 
 
+BUCKET = 1800 * SECOND  # of time, in which times meet windows
+
+
+def nearest_ranges(orbits: DataFrame) -> DataFrame:
+    """Windows with the range of times, doubled, for which their middle is the nearest one (the later one on a tie), cut to the window itself."""
+    order = Window.partitionBy("date", "svid").orderBy("mid")
+    own = orbits.select("date", "svid", "mid", "lb", "ub", "t", "x", "y", "z")
+    since, until = F.lag("mid").over(order) + F.col("mid"), F.col("mid") + F.lead("mid").over(order)
+    return own.withColumns({"since": F.greatest(F.col("lb") * 2, F.coalesce(since, F.col("lb") * 2)), "until": F.least(F.col("ub") * 2 + 1, F.coalesce(until, F.col("ub") * 2 + 1))})
+
+
 def locate(wanted: DataFrame, orbits: DataFrame) -> DataFrame:
     """Adds sv_x, sv_y, sv_z to rows of (gps_ns, date, svid): by the window of the nearest middle (the later one on a tie).
 
-    NULL outside that window, and for satellites or days without orbits. The join is an equality on (date, svid), where a day has some
-    seventy windows; the nearest is kept by an aggregate with partial sums.
+    NULL outside that window, and for satellites or days without orbits. Windows are put into the buckets of time in which theirs is the nearest middle, so
+    that a time meets one or two of a day's windows and keeps one at the most.
     """
-    keys = wanted.select("gps_ns", "date", "svid").distinct()
-    gap = F.abs(F.col("mid") - F.col("gps_ns"))
-    near = keys.join(orbits, ["date", "svid"]).groupBy("gps_ns", "date", "svid").agg(F.min_by(F.struct("lb", "ub", "t", "x", "y", "z"), F.struct(gap, -F.col("mid"))).alias("w"))
-    inside = F.col("gps_ns").between(F.col("w.lb"), F.col("w.ub"))
-    near = near.withColumn("k", F.when(inside, lagrange_weights(F.col("gps_ns"), F.col("w.t"))))
-    found = near.select("gps_ns", "date", "svid", *[weighted(F.col("k"), F.col(f"w.{c}")).alias(f"sv_{c}") for c in "xyz"])
+    keys = wanted.select("gps_ns", "date", "svid").distinct().withColumn("bucket", floor_div(F.col("gps_ns"), BUCKET))
+    ranges = nearest_ranges(orbits).filter("since < until")
+    spread = ranges.withColumn("bucket", F.explode(F.sequence(floor_div(F.col("since"), 2 * BUCKET), floor_div(F.col("until") - 1, 2 * BUCKET))))
+    near = keys.join(spread, ["date", "svid", "bucket"]).filter((F.col("gps_ns") * 2 >= F.col("since")) & (F.col("gps_ns") * 2 < F.col("until")))
+    near = near.withColumn("k", lagrange_weights(F.col("gps_ns"), F.col("t")))
+    found = near.select("gps_ns", "date", "svid", *[weighted(F.col("k"), F.col(c)).alias(f"sv_{c}") for c in "xyz"])
     return wanted.join(found, ["gps_ns", "date", "svid"], "left")

@@ -4,30 +4,50 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rayscape.functions.fourpl import height_bounds
 from rayscape.operators import logistic
 from rayscape.operators.spatial import CELL, projected_height
 
-STRENGTH_STEP = 0.1  # dB-Hz, the resolution of receivers' logs, to which strengths of rays that miss a building are rounded
+STRENGTHS = 50_000  # different strengths of rays that miss a building, about, which a task takes one by one
+STEPS = (0.0, *(10.0**k for k in range(-6, 300, 1)))  # widths of bins, of which the least that leaves so few is taken; 0: no bins
 RESULT = "building_id bigint, step int, model string, a double, b double, c double, d double"
 
 
 def prepare(observations: DataFrame, buildings: DataFrame, cell: float = CELL) -> DataFrame:
-    """(building_id, obs_id, height, ss) of the rays that cross a building's outline; all other pairs have no height."""
-    rays = observations.withColumnRenamed("obs_id", "ray_id")
-    crossed = projected_height(rays, buildings, cell).select("ray_id", "building_id", F.col("z").alias("height"))
-    return crossed.join(rays.select("ray_id", F.col("Cn0DbHz").alias("ss")), "ray_id").withColumnRenamed("ray_id", "obs_id")
+    """(building_id, obs_id, height, ss) of the rays that cross a building's outline, a row for each observation; all other pairs have no height."""
+    rays = observations.select(F.col("obs_id").alias("ray_id"), "r", "s", F.col("Cn0DbHz").alias("ss"))
+    crossed = projected_height(rays, buildings, cell, keep=["ss"])
+    return crossed.select(F.col("ray_id").alias("obs_id"), "building_id", F.col("z").alias("height"), "ss")
 
 
-def strengths(observations: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(values, how often, median) of all signal strengths, rounded. A receiver's scale goes to about 100, so there are a bounded number of values."""
-    value = F.round(F.nanvl("Cn0DbHz", F.lit(None).cast("double")) / STRENGTH_STEP).cast("long")
-    rows = observations.select(value.alias("v")).groupBy("v").count().filter("v between -2000 and 2000").orderBy("v").collect()
-    middle = observations.agg(F.median(F.nanvl("Cn0DbHz", F.lit(None).cast("double")))).first()[0]
-    return np.array([r.v for r in rows], float) * STRENGTH_STEP, np.array([r["count"] for r in rows], float), float("nan") if middle is None else float(middle)
+def bin_of(value: Column, width: float) -> Column:
+    """The bin of a strength, as a number; the strength itself where there are no bins."""
+    return F.floor(value / F.lit(width)).cast("double") if width else value
+
+
+def strengths(observations: DataFrame, most: int = STRENGTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(bins, mean strengths in them, how often, width of a bin) of all signal strengths there are.
+
+    Receivers' logs have a few hundred different values, which are taken as they are (width 0). Only where there are over ``most`` do neighbours share a bin, of the
+    least power of ten that leaves so few, and count by their mean.
+    """
+    value = F.nanvl("Cn0DbHz", F.lit(None).cast("double"))
+    tried = [w for w in STEPS if w <= 1e6]
+    several = observations.agg(*[F.approx_count_distinct(bin_of(value, w)) for w in tried]).first()
+    width = next((w for w, n in zip(tried, several) if n <= most), tried[-1])
+    rows = observations.select(bin_of(value, width).alias("b"), value.alias("v")).filter("v is not null").groupBy("b").agg(F.avg("v").alias("v"), F.count("*").alias("n")).orderBy("b").collect()
+    return np.array([r.b for r in rows], float), np.array([r.v for r in rows], float), np.array([r.n for r in rows], float), width
+
+
+def median_of(values: np.ndarray, counts: np.ndarray) -> float:
+    """Median of values that come so often each; NaN without any."""
+    if not len(values):
+        return float("nan")
+    ends, n = np.cumsum(counts), counts.sum()
+    return float(np.mean([values[np.searchsorted(ends, k, "right")] for k in ((n - 1) // 2, n // 2)]))
 
 
 def fit(observations: DataFrame, buildings: DataFrame, iterations: int = 4, online: bool = False, cell: float = CELL) -> DataFrame:
@@ -36,17 +56,15 @@ def fit(observations: DataFrame, buildings: DataFrame, iterations: int = 4, onli
     All observations count for every building: those that miss it are alike but for their strength, so they come as a table of strengths
     and counts, less the building's own. A building that no ray crosses has no rows.
     """
-    values, counts, middle = strengths(observations)
+    bins, values, counts, width = strengths(observations)
+    middle = median_of(values, counts)
 
     def per_building(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("obs_id")
         h, s = group["height"].to_numpy(float), group["ss"].to_numpy(float)
         rest = counts.copy()
-        own = np.round(s[~np.isnan(s)] / STRENGTH_STEP)
-        if len(values):
-            at = np.searchsorted(np.round(values / STRENGTH_STEP), own)
-            np.subtract.at(rest, np.minimum(at, len(rest) - 1), 1)
-        rest = np.maximum(rest, 0)
+        heard = s[~np.isnan(s)]
+        np.subtract.at(rest, np.searchsorted(bins, np.floor(heard / width) if width else heard), 1)
         height = np.concatenate([h, np.full(len(values), np.nan)])
         strength, weight = np.concatenate([s, values]), np.concatenate([np.ones(len(h)), rest])
         start = np.array([0.8, 0.1, np.nanmedian(h), 0.2])
@@ -56,8 +74,8 @@ def fit(observations: DataFrame, buildings: DataFrame, iterations: int = 4, onli
 
     # fits cost far more than their rows weigh, so they are dealt to as many tasks as there are shuffle partitions at least, uncoalesced
     pairs = prepare(observations, buildings, cell)
-    width = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * pairs.sparkSession.sparkContext.defaultParallelism)
-    return pairs.repartition(width, "building_id").groupBy("building_id").applyInPandas(per_building, RESULT)
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * pairs.sparkSession.sparkContext.defaultParallelism)
+    return pairs.repartition(tasks, "building_id").groupBy("building_id").applyInPandas(per_building, RESULT)
 
 
 def predict(buildings: DataFrame, observations: DataFrame, **how) -> DataFrame:
@@ -77,3 +95,9 @@ def fit_edge(pairs: DataFrame, start: tuple[float, ...] = (40.0, 0.1, 40.0, 10.0
 
     fitted = pairs.groupBy("building_id").applyInPandas(per_building, "building_id bigint, a double, b double, c double, d double")
     return fitted.select("building_id", *[c.alias(k) for k, c in height_bounds(F.col("b"), F.col("c")).items()])
+
+
+def share_by_bin(rows: DataFrame, value: Column, hit: Column, width: float) -> DataFrame:
+    """(bin, n, hits, share): how many rows have ``hit`` in each bin of ``value``; bins are closed on the right, so bin k holds k * width < value <= (k + 1) * width."""
+    binned = rows.filter(value.isNotNull() & ~F.isnan(value)).groupBy((F.ceil(value / F.lit(float(width))) - 1).cast("long").alias("bin"))
+    return binned.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).withColumn("share", F.col("hits") / F.col("n"))

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rayscape import constants as K
+from rayscape import schemas
 from rayscape.functions import diffraction, fourpl, geodesy, gnss, planar
 from rayscape.functions import time as T
-from rayscape.operators import orbit, simulate, spatial
+from rayscape.operators import logistic, orbit, simulate, spatial
 from rayscape.operators import predict as heights
-from rayscape.operators.asof import asof_join
+from rayscape.operators.asof import asof_join, discarded, receiver_positions
 from rayscape.operators.features import process_raw
-from rayscape.sources import geo, gnsslogger, sp3
+from rayscape.sources import geo, gnsslogger, orbits, sp3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,6 +137,19 @@ def log_scan(spark, sf_dir):
     return found.select(F.col("ElapsedRealtimeNanos").alias("line"), "TimeNanos", "FullBiasNanos", "Svid", "Cn0DbHz")
 
 
+@query("""
+select 'log' || p_partkey as log_id, (p_partkey % 4) || '.' || (p_size % 10) || '.0.' || (p_partkey % 3) as version, ['N', 'O', '7', 'Q'][1 + p_partkey % 4] as platform from part
+""")
+def log_header(spark, sf_dir):
+    """Versions and platforms from the comments of many logs."""
+    k = F.col("p_partkey")
+    version = F.concat(k % 4, F.lit("."), F.col("p_size") % 10, F.lit(".0."), k % 3)
+    platform = F.get(F.array(*map(F.lit, ("N", "o", "7", "Q"))), (k % 4).cast("int"))
+    comment = F.concat(F.lit("# Version: v"), version, F.lit(" Platform: "), platform, F.lit(" Manufacturer: x Model: y"))
+    text = table(spark, sf_dir, "part").select(F.concat(F.lit("log"), k).alias("log_id"), F.posexplode(F.array(F.lit("# "), F.lit("# Header Description:"), comment, F.lit("Raw,1,2"))).alias("line_no", "value"))
+    return gnsslogger.header(text)
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     time = T.utc_ns(F.col("ts")) - F.lit(K.GPS_EPOCH)
@@ -178,6 +194,30 @@ def pseudorange_report(spark, sf_dir):
     return report(process_raw(raw_lines(spark, sf_dir)))
 
 
+_PLACED = _RAW_SQL + """, r as (select *, (rx + 315964800000000000 - 18000000000) // 1000000 as ms from d where event_id % 3 <> 0),
+f as (select event_id, (epoch_us(ts) * 1000 - 18000000000) // 1000000 as ms from events where event_id % 3 = 0),
+p as (select r.event_id as line_no, f.event_id as fix, row_number() over (partition by r.event_id order by abs(r.ms - f.ms), f.ms, f.event_id desc) as k from r join f on abs(r.ms - f.ms) <= 600000)
+"""
+
+
+def receiver_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(measurements, those with the position fix nearest to them) of one log."""
+    features = process_raw(raw_lines(spark, sf_dir).filter("line_no % 3 <> 0")).withColumn("log_id", F.lit("log"))
+    i = F.col("event_id")
+    fix = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.lit("log").alias("log_id"), i.alias("line_no"), (i % 7).cast("double").alias("Longitude"), (i % 11).cast("double").alias("Latitude"), i.cast("double").alias("Altitude"), T.floor_div(T.utc_ns(F.col("ts")) - F.lit(18 * K.SECOND), 1_000_000).alias("(UTC)TimeInMs"))
+    return features, receiver_positions(features, fix, 600_000)
+
+
+@query(_PLACED + "select line_no, (fix % 7)::double as x, (fix % 11)::double as y, fix::double as z from p where k = 1")
+def receiver_points(spark, sf_dir):
+    return receiver_log(spark, sf_dir)[1].select("line_no", "x", "y", "z")
+
+
+@query(_PLACED + "select (select count(*) from r) as measurements, count(*) as placed, (select count(*) from r) - count(*) as discarded from p where k = 1")
+def discarded_measurements(spark, sf_dir):
+    return discarded(*receiver_log(spark, sf_dir))
+
+
 def asof_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf_dir, "events").withColumn("ms", T.floor_div(F.unix_micros(F.col("ts").cast("timestamp")), 1000))
     left = events.filter("event_id % 3 <> 0").select("user_id", F.col("event_id").alias("left_id"), F.col("ms").alias("left_ms"))
@@ -240,7 +280,9 @@ def supported_svid_filter(spark, sf_dir):
 
 @query(f"select letter as constellation, count(*) as n from ({_SVIDS}) group by letter")
 def constellation_counts(spark, sf_dir):
-    return svids(spark, sf_dir).groupBy(F.substring("svid", 1, 1).alias("constellation")).agg(F.count("*").alias("n"))
+    from rayscape.operators.observe import constellation_sizes
+
+    return constellation_sizes(svids(spark, sf_dir))
 
 
 @query(f"select distinct letter as constellation from ({_SVIDS}) where letter not in ('G', 'R', 'C', 'E')")
@@ -258,6 +300,26 @@ def orbit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("epoch", F.lit("2024001").alias("date"), (k * F.lit(300 * K.SECOND)).alias("time"), i.cast("string").alias("svid"), cubic(20000000 + i, 1000 + i, F.lit(7), F.lit(3)).alias("x"), cubic(-15000000 + i, 3 * i, F.lit(-11), F.lit(2)).alias("y"), cubic(F.lit(9000000), -i, F.lit(5), F.lit(-1)).alias("z"), F.lit(0.0).alias("clockerror"))
 
 
+@query("""
+with k as (select unnest(generate_series(0, 24)) as epoch)
+select epoch::bigint as epoch, '2024001' as date, epoch::bigint * 300000000000 as time, 'G' || lpad((s_suppkey % 100)::varchar, 2, '0') as svid,
+       round(1000 * (20000 + s_suppkey + epoch / 8e0))::bigint as x, round(1000 * (s_suppkey - epoch * 3e0))::bigint as y, round(1000 * 9000.5e0)::bigint as z
+from supplier, k
+""")
+def sp3_parse(spark, sf_dir):
+    """Text of an orbit file as rows; its seconds have a fraction, which is dropped, and its last lines are of no epoch's."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("epoch"))
+    number = lambda c: F.lpad(F.call_function("format_number", c, F.lit("0.000000")), 14, " ")
+    name = F.concat(F.lit("PG"), F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, " "))
+    body = F.concat(name, number(F.col("s_suppkey") + 20000 + F.col("epoch") / 8.0), number(F.col("s_suppkey") - F.col("epoch") * 3.0), number(F.lit(9000.5)), number(F.lit(999999.999999)))
+    minutes = F.col("epoch") * 5
+    head = F.concat(F.lit("*  2024  1  1 "), F.lpad(F.floor(minutes / 60).cast("string"), 2, " "), F.lit(" "), F.lpad((minutes % 60).cast("string"), 2, " "), F.lit("  0.99999999"))
+    text = rows.select((F.col("epoch").cast("long") * 10**9 + F.col("s_suppkey")).alias("n"), body.alias("value"))
+    text = text.unionByName(rows.select("epoch").distinct().select((F.col("epoch").cast("long") * 10**9).alias("n"), head.alias("value"))).unionByName(spark.createDataFrame([(-1, "#cP2024  1  1"), (10**12, "EOF")], "n long, value string"))
+    whole = lambda c: F.round(c).cast("long").alias(c)
+    return sp3.parse_lines(text.withColumn("file", F.lit("f"))).select("epoch", "date", "time", "svid", whole("x"), whole("y"), whole("z"))
+
+
 _DAY = "1388102400000000000"  # GPS nanoseconds of 2024-01-01 on its own scale
 
 
@@ -310,7 +372,7 @@ def product_fallback(spark, sf_dir):
 def missing_days(spark, sf_dir):
     day = F.concat(F.year("ts").cast("string"), F.lpad(F.dayofyear("ts").cast("string"), 3, "0"))
     days = table(spark, sf_dir, "events").select("event_id", day.alias("date"))
-    return days.select("date").distinct().join(days.filter("event_id % 1000 = 0").select("date").distinct(), "date", "left_anti")
+    return orbits.missing_dates(days, days.filter("event_id % 1000 = 0").select("date").distinct())
 
 
 # -- geodesy -------------------------------------------------------------------------
@@ -392,6 +454,40 @@ def ray_build(spark, sf_dir):
     return lines_of_sight(spark, sf_dir).select("c_custkey", *[F.round(v * F.lit(1e3)).cast("long").alias(f"{c}_mm") for c, v in zip("xyz", end)])
 
 
+_SKY = _SITE + f""", v as (select i, ['G', 'R', 'C', 'E'][1 + i % 4] || lpad((1 + i // 4)::varchar, 2, '0') as svid from (select unnest(generate_series(0, 79)) as i)),
+w as (select c_custkey, svid, radians(c_custkey % 90 + 0e0) as lon_, x, y, z, lon, lat, i,
+             2.6e7 * cos(radians(i * 9e0)) * cos(radians((i % 7) * 12e0 - 36)) as sx, 2.6e7 * sin(radians(i * 9e0)) * cos(radians((i % 7) * 12e0 - 36)) as sy, 2.6e7 * sin(radians((i % 7) * 12e0 - 36)) as sz from e, v),
+d as (select *, ((sx - x) * cos(radians(lat)) * cos(radians(lon)) + (sy - y) * cos(radians(lat)) * sin(radians(lon)) + (sz - z) * sin(radians(lat)))
+      / sqrt((sx - x) ** 2 + (sy - y) ** 2 + (sz - z) ** 2) as sine from w),
+u as (select *, degrees(asin(greatest(-1e0, least(1e0, sine)))) as elevation from d where substring(svid, 1, 1) in ('G', 'R', 'E')),
+o as (select o_orderkey, o_custkey as c_custkey, o_orderkey % 160 as k from orders),
+j as (select o_orderkey, c_custkey, ['G', 'R', 'C', 'E'][1 + k % 4] || lpad((1 + k // 8)::varchar, 2, '0') as svid from o)
+select u.svid, round(x * 1e3)::bigint as rx_mm, round(z * 1e3)::bigint as rz_mm, o_orderkey, round(elevation * 1e5)::bigint as elevation
+from u semi join o using (c_custkey) left join j using (c_custkey, svid) where elevation between 0 and 85
+"""
+
+
+@query(_SKY)
+def observe_all(spark, sf_dir):
+    """All satellites of three constellations above each customer's place at one time, with the orders that measured them: several of one satellite fan out."""
+    from rayscape.operators.observe import observe
+
+    i = F.col("id")
+    letter = F.get(F.array(*map(F.lit, "GRCE")), (i % 4).cast("int"))
+    up = F.radians((i % 7) * F.lit(12.0) - 36)
+    still = spark.range(80).select(gnss.svid(letter, (F.floor(i / 4) + 1).cast("long")).alias("svid"), *[(F.lit(2.6e7) * c).alias(n) for n, c in (("x", F.cos(F.radians(i * F.lit(9.0))) * F.cos(up)), ("y", F.sin(F.radians(i * F.lit(9.0))) * F.cos(up)), ("z", F.sin(up)))])
+    day = still.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long")))).select("epoch", F.lit("2024001").alias("date"), (F.col("epoch") * F.lit(300 * K.SECOND)).alias("time"), "svid", "x", "y", "z", F.lit(0.0).alias("clockerror"))
+    k = F.col("o_orderkey") % 160
+    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", gnss.svid(F.get(F.array(*map(F.lit, "GRCE")), (k % 4).cast("int")), (F.floor(k / 8) + 1).cast("long")).alias("svid"))
+    utc = F.lit(int(_DAY) + K.GPS_EPOCH - 18 * K.SECOND) + (F.col("c_custkey") % 90) * F.lit(60 * K.SECOND)
+    points = seen.join(sites(spark, sf_dir), "c_custkey").select(utc.alias("time_ns"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("h").alias("z"), "svid", "o_orderkey")
+    found = observe(points, orbit.windows(day), {"G", "R", "E"})
+    if (n := found.agg(F.count("*") - F.count_distinct("obs_id")).first()[0]) != 0:
+        raise AssertionError(f"{n} observations share an id")
+    r, s = _ends("r", "s")
+    return found.select("svid", *[F.round(F.col(f"r.{c}") * F.lit(1e3)).cast("long").alias(f"r{c}_mm") for c in "xz"], "o_orderkey", F.round(geodesy.elevation(r, s) * F.lit(1e5)).cast("long").alias("elevation"))
+
+
 # -- rays and buildings --------------------------------------------------------------
 
 _MAP = "m as (select p_partkey as building_id, (p_partkey % 50) * 40e0 as x0, (p_partkey // 50) * 40e0 as y0, (p_partkey % 50) * 40e0 + 10 + p_size % 20 as x1, (p_partkey // 50) * 40e0 + 10 + p_size % 20 as y1, p_size::double as height from part)"
@@ -432,9 +528,24 @@ def ray_hits(spark, sf_dir):
     return spatial.ray_hits(rays(spark, sf_dir), city(spark, sf_dir))
 
 
-@query(_CROSS + ", n as (select count(*) as n from m where building_id <= 2), s as (select ray_id, count(*) as k from h where z <= height and building_id <= 2 group by ray_id) select ray_id, coalesce(k, 0) = n as is_los from q left join s using (ray_id), n")
+@query(_CROSS + ", n as (select count(*) as n from m), s as (select ray_id, count(*) as k from h where z <= height group by ray_id) select ray_id, coalesce(k, 0) = n as is_los from q left join s using (ray_id), n")
 def los_all(spark, sf_dir):
-    return spatial.hits_all(rays(spark, sf_dir), city(spark, sf_dir).filter("building_id <= 2"))
+    return spatial.hits_all(rays(spark, sf_dir), city(spark, sf_dir))
+
+
+_ROW = "o as (select r_regionkey as building_id, 100e0 + 20 * r_regionkey as x0, 1 + r_regionkey % 3 as height from region)"
+
+
+@query(f"with {_ROW}, q as (select o_orderkey as ray_id, (o_orderkey % 90)::double as rx, (o_orderkey % 7) * .5e0 as z from orders), "
+       "s as (select ray_id, count(*) filter (where z <= height) as k from q, o group by ray_id) select ray_id, k = (select count(*) from o) as is_los from s")
+def los_row(spark, sf_dir):
+    """Level rays along a row of buildings, of which the low ones hit all."""
+    k, order = F.col("r_regionkey"), F.col("o_orderkey")
+    x = F.lit(100.0) + k * 20
+    row = table(spark, sf_dir, "region").select(k.alias("building_id"), planar.box(x, F.lit(0.0), x + 10, F.lit(10.0)).alias("ring"), (k % 3 + 1).cast("double").alias("height"))
+    z = (order % 7) * F.lit(0.5)
+    level = table(spark, sf_dir, "orders").select(order.alias("ray_id"), planar.point(order % 90, F.lit(5.0), z).alias("r"), planar.point(F.lit(300.0), F.lit(5.0), z).alias("s"))
+    return spatial.hits_all(level, row)
 
 
 @query(_CROSS + "select ray_id from q where ray_id not in (select ray_id from h where z <= height)")
@@ -454,6 +565,50 @@ def height_matrix(spark, sf_dir):
     return wide.select("ray_id", *[micro(F.col(f"`{b}`")).alias(f"b{b}") for b in (1, 2, 3)])
 
 
+@query(_CROSS + ", d as (select ray_id, building_id, z, 0 as copy from h union all select ray_id, building_id, z, 1 from h where ray_id % 3 = 0) "
+       "select ray_id * 2 + copy as obs_id, building_id, round(z * 1e6)::bigint as z, (ray_id % 50 + copy)::double as ss from d")
+def height_pairs(spark, sf_dir):
+    """Rays that cross buildings with their strengths; a third of them were measured twice."""
+    twice = rays(spark, sf_dir).withColumn("copy", F.explode(F.when(F.col("ray_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    seen = twice.select((F.col("ray_id") * 2 + F.col("copy")).alias("obs_id"), "r", "s", (F.col("ray_id") % 50 + F.col("copy")).cast("double").alias("Cn0DbHz"))
+    return heights.prepare(seen, city(spark, sf_dir)).select("obs_id", "building_id", micro(F.col("height")).alias("z"), "ss")
+
+
+_SHAPE = "[(100e0, 100e0), (700e0, 100e0), (700e0, 900e0), (401e0, 300e0), (100e0, 900e0), (100e0, 100e0)]"
+
+
+@query(f"""
+with {_RAYS}, c as (select unnest({_SHAPE}) as p, unnest(generate_series(0, 5)) as i), e as (select a.p[1] as ex, a.p[2] as ey, b.p[1] as fx, b.p[2] as fy from c a join c b on b.i = a.i + 1)
+select ray_id as point_id, count(*) filter (where (ey > ry) <> (fy > ry) and rx < (fx - ex) * (ry - ey) / (fy - ey) + ex) % 2 = 1 as inside from q, e group by ray_id
+""")
+def inside_polygon(spark, sf_dir):
+    """Whether points are strictly inside a polygon that isn't convex."""
+    corners = [(100.0, 100.0), (700.0, 100.0), (700.0, 900.0), (401.0, 300.0), (100.0, 900.0), (100.0, 100.0)]
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in corners])
+    return rays(spark, sf_dir).select(F.col("ray_id").alias("point_id"), planar.contains(ring, F.col("r.x"), F.col("r.y")).alias("inside"))
+
+
+_MERCATOR = "round(6378137e0 * radians({x}) * 1e3)::bigint"
+_MERCATOR_Y = "round(6378137e0 * ln(tan(pi() / 4 + radians({y}) / 2)) * 1e3)::bigint"
+
+
+@query(f"with {_MAP} select building_id, {_MERCATOR.format(x='x1 / 1e3')} as x_mm, {_MERCATOR_Y.format(y='50 + y1 / 1e3')} as y_mm, round(height * 1e3)::bigint as h_mm from m")
+def map_reproject(spark, sf_dir):
+    """First corners and heights of a map in degrees, in web Mercator."""
+    degrees = city(spark, sf_dir).withColumn("ring", F.transform("ring", lambda c: F.struct((c["x"] / 1e3).alias("x"), (F.lit(50.0) + c["y"] / 1e3).alias("y"))))
+    moved, mm = spatial.reproject_map(degrees, K.LLA, "EPSG:3857"), lambda c: F.round(c * F.lit(1e3)).cast("long")
+    first = F.element_at("ring", 1)
+    return moved.select("building_id", mm(first["x"]).alias("x_mm"), mm(first["y"]).alias("y_mm"), mm(F.col("height")).alias("h_mm"))
+
+
+@query("select 'missing_height' as failure where exists (select 1 from part where p_partkey % 500 = 0) union all select 'not_polygons' where exists (select 1 from part where p_partkey % 700 = 0) union all select 'open_rings' where exists (select 1 from part where p_partkey % 700 = 0)")
+def check_map(spark, sf_dir):
+    """What is wrong with a map of which some buildings have no height and others no last corners."""
+    k = F.col("building_id")
+    wrong = city(spark, sf_dir).withColumns({"height": F.when(k % 500 != 0, F.col("height")), "ring": F.when(k % 700 == 0, F.slice("ring", 1, 3)).otherwise(F.col("ring"))})
+    return spark.createDataFrame([(x,) for x in schemas.failures(wrong, "map")], "failure string")
+
+
 _J = "-(case when {v} < -1 then 0e0 when {v} < 0 then 20 * ln(0.5e0 - 0.62e0 * {v}) when {v} < 1 then 20 * ln(0.5e0 * exp(-0.95e0 * {v})) when {v} < 2.4e0 then 20 * ln(0.4e0 - sqrt(0.1184e0 - (0.38e0 - 0.1e0 * {v}) ** 2)) else 20 * ln(0.225e0 / {v}) end)"
 
 
@@ -479,6 +634,22 @@ def fresnel_loss(spark, sf_dir):
     return found.select("ray_id", F.round(F.col("fresnel") * F.lit(1e4)).cast("long").alias("loss"))
 
 
+@query(_CROSS + """, n as (
+  select ray_id, 1 as part, z, building_id, rx + t * dx as x, ry + t * dy as y, height as top from h join q using (ray_id) where z <= height
+  union all select ray_id, 0, null, 0, rx, ry, rz from q union all select ray_id, 2, null, 0, rx + dx, ry + dy, rz + dz from q),
+w as (select *, lag(x) over o as px, lag(y) over o as py, lag(top) over o as pz, lead(x) over o - lag(x) over o as wx, lead(y) over o - lag(y) over o as wy, lead(top) over o - lag(top) over o as wz
+      from n window o as (partition by ray_id order by part, z, building_id)),
+a as (select *, sqrt(wx * wx + wy * wy) as far from w where part = 1),
+d as (select *, nullif(greatest(0e0, least(far, ((x - px) * wx + (y - py) * wy) / nullif(far, 0))), 0) as d from a),
+v as (select *, (top - (pz + d / far * wz)) * sqrt(2e0 / (0.1903e0 * d)) as v from d),
+l as (select ray_id, sum(coalesce(case when v is not null then """ + _J.format(v="v") + """ end, 0e0)) as loss from v group by ray_id)
+select ray_id, round(coalesce(loss, 0e0) * 1e4)::bigint as loss from q left join l using (ray_id)""")
+def fresnel_chain(spark, sf_dir):
+    """Losses over all roofs that a ray passes below, each between its neighbours."""
+    found = spatial.fresnel(rays(spark, sf_dir), city(spark, sf_dir))
+    return found.select("ray_id", F.round(F.col("fresnel") * F.lit(1e4)).cast("long").alias("loss"))
+
+
 @query(f"with {_MAP} select building_id, round((x0 + x1) / 2 * 1e6)::bigint as cx, round((y0 + y1) / 2 * 1e6)::bigint as cy, round((x1 - x0) * (y1 - y0) * 1e6)::bigint as area from m")
 def ring_centroid(spark, sf_dir):
     cx, cy = planar.centroid(F.col("ring"))
@@ -497,8 +668,8 @@ def geojson_rings(spark, sf_dir):
 @query(f"with {_MAP} select building_id, height from m where x1 >= 100 and x0 <= 700 and y1 >= 100 and y0 <= 500 order by building_id limit 20 offset 5")
 def layer_slice(spark, sf_dir):
     """A box of a layer, and a run of its rows: what limits are for."""
-    df = city(spark, sf_dir).withColumns(planar.bounds(F.col("ring"))).filter("maxx >= 100 and minx <= 700 and maxy >= 100 and miny <= 500")
-    return df.orderBy("building_id").offset(5).limit(20).select("building_id", "height")
+    df = city(spark, sf_dir).withColumns(planar.bounds(F.col("ring")))
+    return geo.layer(df, bbox=(100.0, 100.0, 700.0, 500.0), rows=slice(5, 25)).select("building_id", "height")
 
 
 # -- the logistic curve --------------------------------------------------------------
@@ -535,15 +706,53 @@ def height_bounds(spark, sf_dir):
 @query("select ceil(l_quantity / 5e0)::bigint - 1 as bin, count(*) as n, count(*) filter (where l_returnflag = 'R') as hits from lineitem group by 1")
 def los_proportion_hist(spark, sf_dir):
     """Counts in bins that are closed on the right."""
-    bin_of = (F.ceil(F.col("l_quantity") / F.lit(5.0)) - 1).cast("long")
-    return table(spark, sf_dir, "lineitem").groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("hits"))
+    return heights.share_by_bin(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_returnflag") == "R", 5.0).select("bin", "n", "hits")
 
 
 @query("select event_type, median(case when event_id % 7 = 0 then null else value end) as middle from events group by event_type")
 def nan_median(spark, sf_dir):
     """Exact medians; values that aren't numbers count as missing."""
     value = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.median(F.nanvl(value, F.lit(None).cast("double"))).alias("middle"))
+    events = table(spark, sf_dir, "events").select("event_type", value.alias("Cn0DbHz"))
+    kinds = [r[0] for r in events.select("event_type").distinct().collect()]  # a handful
+    rows = [(k, heights.median_of(*heights.strengths(events.filter(F.col("event_type") == k))[1:3])) for k in kinds]
+    return spark.createDataFrame(rows, "event_type string, middle double")
+
+
+_STEP_SQL = """
+f as (select g, z, y, a, b, c, d, 1 / (1 + exp(-b * (z - c))) as f from {rows}),
+k as (select *, d + (a - d) * f as p, (a - d) * f * (1 - f) as bend from f),
+{name} as (select g, greatest(.501e0, least(.999e0, any_value(a) - .01e0 * avg((p - y) / (p * (1 - p)) * f))) as a, greatest(.01e0, any_value(b) - .0001e0 * avg((p - y) / (p * (1 - p)) * bend * (z - c))) as b,
+  greatest(.001e0, any_value(c) + 1e0 * avg((p - y) / (p * (1 - p)) * bend * b)) as c, greatest(.001e0, least(.499e0, any_value(d) - .01e0 * avg((p - y) / (p * (1 - p)) * (1 - f)))) as d from k group by g)
+"""
+_LEARN = "x as (select l_suppkey as g, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as i, l_quantity::double as z, case when l_returnflag = 'R' then 1e0 else 0e0 end as y from lineitem)"
+_SHOW = ", ".join(f"round({c} * 1e6)::bigint as {c}" for c in "abcd")
+
+
+def learned(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+    """Parameters of each supplier's curve of returns by quantity, from its rows in order."""
+
+    def per_supplier(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["l_orderkey", "l_linenumber"])
+        p = fit(rows["z"].to_numpy(float), rows["y"].to_numpy(float), np.array([0.8, 0.1, 20.0, 0.2]), np.array([0.01, 0.0001, 1.0, 0.01]))
+        return pd.DataFrame([(rows["g"].iloc[0], *p)], columns=["g", *"abcd"])
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("z"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    found = rows.groupBy("g").applyInPandas(per_supplier, f"g {rows.schema['g'].dataType.simpleString()}, a double, b double, c double, d double")
+    return found.select("g", *[micro(F.col(c)).alias(c) for c in "abcd"])
+
+
+@query("with " + _LEARN + ", i as (select g, z, y, .8e0 as a, .1e0 as b, 20e0 as c, .2e0 as d from x), " + _STEP_SQL.format(rows="i", name="one") + f" select g, {_SHOW} from one")
+def fourpl_step(spark, sf_dir):
+    return learned(spark, sf_dir, lambda z, y, p, rate: logistic.step(p, z, y, rate))
+
+
+@query("with " + _LEARN + ", h as (select g, (count(*) + 1) // 2 as n from x group by g), i1 as (select g, z, y, .8e0 as a, .1e0 as b, 20e0 as c, .2e0 as d from x join h using (g) where i <= n), "
+       + _STEP_SQL.format(rows="i1", name="one") + ", i2 as (select x.g, z, y, a, b, c, d from x join h using (g) join one using (g) where i > n), "
+       + _STEP_SQL.format(rows="i2", name="two").replace("f as (", "f2 as (").replace("from f)", "from f2)").replace("k as (", "k2 as (").replace("from k ", "from k2 ") + f" select g, {_SHOW} from two")
+def fourpl_online(spark, sf_dir):
+    """Two batches in order of arrival, the second from where the first one ends."""
+    return learned(spark, sf_dir, lambda z, y, p, rate: logistic.fit_online(z, y, p, rate, batch=(len(z) + 1) // 2)[-1])
 
 
 # -- simulation and fits -------------------------------------------------------------
@@ -563,6 +772,32 @@ def guided_walk(spark, sf_dir):
     return simulate.guided_walk(starts, (100.0, 50.0), 1.5).select("parent", F.col("step").cast("long").alias("step"), micro(F.col("x")).alias("x"), micro(F.col("y")).alias("y"))
 
 
+@query("select c_custkey as parent, unnest(generate_series(0, c_custkey % 5)) as step, 1400000 as length from customer")
+def random_walk(spark, sf_dir):
+    """Lengths of the steps of random walks, the first one's from the start on."""
+    k = F.col("c_custkey")
+    starts = table(spark, sf_dir, "customer").select(k.alias("parent"), (k % 97).cast("double").alias("x"), (k % 89).cast("double").alias("y"), (k % 5 + 1).cast("int").alias("duration"))
+    moved = simulate.walk(starts, "random", 1.4, seed=5).join(starts.select("parent", F.col("x").alias("x0"), F.col("y").alias("y0")), "parent")
+    before = Window.partitionBy("parent").orderBy("step")
+    dx, dy = (F.col(c) - F.coalesce(F.lag(c).over(before), F.col(f"{c}0")) for c in "xy")
+    return moved.select("parent", F.col("step").cast("long").alias("step"), micro(F.sqrt(dx * dx + dy * dy)).cast("int").alias("length"))
+
+
+@query("select i as parent, true as inside from (select unnest(generate_series(0, 999)) as i)")
+def uniform_parents(spark, sf_dir):
+    """A thousand single points, all inside their box and time."""
+    found = simulate.clusters(spark, (10.0, 20.0, 30.0, 60.0), 5 * K.SECOND, 9 * K.SECOND, 1000, seed=4)
+    inside = F.col("x").between(10, 30) & F.col("y").between(20, 60) & F.col("time_ns").between(5 * K.SECOND, 9 * K.SECOND)
+    return found.select("parent", inside.alias("inside"))
+
+
+@query("select o_orderkey as obs_id, case when 35e0 - o_custkey % 40 > 10 then 35e0 - o_custkey % 40 end as ss from orders")
+def sample_strengths(spark, sf_dir):
+    """Strengths without noise: what the loss leaves, where it is over the least."""
+    seen = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"), (F.col("o_custkey") % 40).cast("double").alias("fresnel"))
+    return simulate.sample(seen, noise=0.0).select("obs_id", F.col("Cn0DbHz").alias("ss"))
+
+
 @query()
 def simulate_points(spark, sf_dir):
     """Walks among the buildings; random, so there is no SQL for it."""

@@ -46,7 +46,7 @@ FIX = T.StructType([
 
 RAYS = struct(ray_id=L, r=POINT, s=POINT)
 RECEIVER_POINTS = struct(point_id=L, time_ns=L, x=D, y=D, z=D)
-OBSERVATIONS = struct(obs_id=L, time_ns=L, svid=S, r=POINT, s=POINT)
+OBSERVATIONS = struct(time_ns=L, svid=S, r=POINT, s=POINT)
 MAP = struct(building_id=L, ring=T.ArrayType(CORNER), height=D)
 SP3 = struct(epoch=L, date=S, time=L, svid=S, x=D, y=D, z=D, clockerror=D)
 KINDS = {"rays": RAYS, "receiverpoints": RECEIVER_POINTS, "observations": OBSERVATIONS, "map": MAP}

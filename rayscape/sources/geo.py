@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,23 @@ def write_features(df: DataFrame, geometry: Column, path: str, properties: list[
     df.select(feature.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collection(df: DataFrame, geometry: Column, path: str, properties: list[str]) -> None:
+    """Writes each partition as one GeoJSON FeatureCollection, a file that any reader takes."""
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")))
+
+    def collection(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = '{"type":"FeatureCollection","features":['
+        for b in batches:
+            if b.num_rows:
+                lines = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([before + lines[0], *("," + x for x in lines[1:])])], ["value"])
+                before = ","
+        if before == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]}"])], ["value"])
+
+    df.select(feature.alias("value")).mapInArrow(collection, "value string").write.mode("overwrite").text(path)
+
+
 def read_sequence(spark: SparkSession, path: str, properties: str, coordinates: str) -> DataFrame:
     """Reads what ``write_features`` wrote: properties and coordinates, by their given types."""
     text = spark.read.text(path).select(F.from_json("value", f"struct<properties:{properties},geometry:struct<type:string,coordinates:{coordinates}>>").alias("f"))
@@ -54,7 +74,11 @@ def read_sequence(spark: SparkSession, path: str, properties: str, coordinates:
 
 def read_layer(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None, mask: list[tuple[float, float]] | None = None, rows: slice | None = None) -> DataFrame:
     """Buildings stored as Parquet with minx, miny, maxx, maxy: those that touch a box (pushed down to the scan), have a corner in a mask, and a run of them by id."""
-    df = spark.read.parquet(path)
+    return layer(spark.read.parquet(path), bbox, mask, rows)
+
+
+def layer(df: DataFrame, bbox: tuple[float, float, float, float] | None = None, mask: list[tuple[float, float]] | None = None, rows: slice | None = None) -> DataFrame:
+    """The same of a table that is at hand."""
     if bbox:
         minx, miny, maxx, maxy = bbox
         df = df.filter((F.col("maxx") >= minx) & (F.col("minx") <= maxx) & (F.col("maxy") >= miny) & (F.col("miny") <= maxy))

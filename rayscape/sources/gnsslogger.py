@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from rayscape.constants import JOIN_TOLERANCE_MS, MINIMUM_PLATFORM, MINIMUM_VERSION
 from rayscape.functions import gnss
-from rayscape.operators.asof import receiver_positions
+from rayscape.operators.asof import discarded, receiver_positions
 from rayscape.operators.features import process_raw
 from rayscape.schemas import FIX, RAW
 
@@ -84,8 +84,14 @@ def read_raw_and_fix(spark: SparkSession, path: str, check: bool = True) -> tupl
     return records(text, "Raw", RAW), records(text, "Fix", FIX)
 
 
-def read_gnsslogger(spark: SparkSession, path: str, tolerance_ms: int = JOIN_TOLERANCE_MS, check: bool = True) -> DataFrame:
-    """Receiver points: each measurement with its satellite, times, pseudorange and the position fix nearest in time."""
+def read_gnsslogger(spark: SparkSession, path: str, tolerance_ms: int = JOIN_TOLERANCE_MS, check: bool = True, count: bool = False) -> DataFrame:
+    """Receiver points: each measurement with its satellite, times, pseudorange and the position fix nearest in time.
+
+    With ``count``, one job counts the measurements that have no fix and are left out, and a warning tells how many.
+    """
     raw, fix = read_raw_and_fix(spark, path, check)
-    found = receiver_positions(process_raw(raw), fix, tolerance_ms)
+    features = process_raw(raw)
+    found = receiver_positions(features, fix, tolerance_ms)
+    if count and (n := discarded(features, found).first()).discarded:
+        warnings.warn(f"{n.discarded} of {n.measurements} measurements have no position fix near them", stacklevel=2)
     return found.withColumn("point_id", F.xxhash64("log_id", "line_no"))

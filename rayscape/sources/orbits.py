@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rayscape.operators.orbit import windows
+from rayscape.sources import sp3
 
 _D, _L = T.ArrayType(T.DoubleType()), T.LongType()
 SCHEMA = T.StructType(
@@ -41,11 +42,22 @@ def write(orbits: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
-def update(spark: SparkSession, path: str, sp3: DataFrame) -> DataFrame:
-    """Adds windows for those days of an SP3 table that the store doesn't hold, and returns the store."""
-    have = read(spark, path).select("date").distinct()
-    missing = sp3.join(have, "date", "left_anti")
-    new = windows(missing)
+def missing_dates(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """Distinct dates of ``wanted`` that aren't among ``stored``."""
+    return wanted.select("date").distinct().join(stored.select("date"), "date", "left_anti")
+
+
+def update(spark: SparkSession, path: str, source: DataFrame | str, dates: list[str] | None = None) -> DataFrame:
+    """Adds windows for those days that the store doesn't hold, and returns the store.
+
+    ``source`` is an SP3 table, or a local folder of SP3 files, of which each missing one of ``dates`` is read from its best product.
+    """
+    have = stored_dates(spark, path)
+    if isinstance(source, str):
+        missing = [r.date for r in missing_dates(spark.createDataFrame([(d,) for d in dates or []], "date string"), have).collect()]
+        new = windows(sp3.read_available(spark, source, missing))
+    else:
+        new = windows(source.join(missing_dates(source, have), "date", "left_semi"))
     out = new.select(*SCHEMA.names).repartition("date").sortWithinPartitions("date", "svid", "mid")
     out.write.mode("append").partitionBy("date").parquet(path)
     return read(spark, path)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime
 import os
+import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Where each product lies on its archive, and what its files are called.
@@ -47,6 +49,19 @@ def available(date: str, folder: str) -> str | None:
     return next((p for p in PRIORITY if os.path.exists(os.path.join(folder, file_name(date, p)))), None)
 
 
+def read_available(spark: SparkSession, folder: str, dates: list[str]) -> DataFrame:
+    """Epochs of the named dates from a local folder, each from the best product that is there; a warning names dates without one, and those that fall back."""
+    found = {d: available(d, folder) for d in dates}
+    for wrong, what in ((sorted(d for d, p in found.items() if p is None), "have no orbits"), (sorted(d for d, p in found.items() if p not in (None, PRIORITY[0])), "have no final orbits, so that others are taken")):
+        if wrong:
+            warnings.warn(f"{', '.join(wrong)} {what}", stacklevel=2)
+    paths = [os.path.join(folder, file_name(d, p)) for d, p in found.items() if p]
+    return parse(spark, paths).filter(F.col("date").isin(dates)) if paths else spark.createDataFrame([], SCHEMA)
+
+
+SCHEMA = "epoch bigint, date string, time bigint, svid string, x double, y double, z double, clockerror double"
+
+
 def best_product(orbits: DataFrame, product: str = "product") -> DataFrame:
     """Of rows for the same date and satellite epoch, those of the best product."""
     rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITY]), F.col(product))
@@ -54,12 +69,63 @@ def best_product(orbits: DataFrame, product: str = "product") -> DataFrame:
     return orbits.join(best, "date").filter(rank == F.col("__best")).drop("__best")
 
 
-def parse(spark: SparkSession, path: str) -> DataFrame:
+def parse(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(epoch, date, time, svid, x, y, z, clockerror) of the files at a path, compressed by gzip or not.
 
-    Metres and nanoseconds; whole seconds; the epoch's line stands before its satellites' lines.
+    Metres and nanoseconds; whole seconds; the epoch's line stands before its satellites' lines. Files that end in ``.Z`` are read as well.
     """
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+    plain = spark.read.text(path).filter(~F.col("_metadata.file_path").endswith(".Z")).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+    packed = spark.read.format("binaryFile").load(path).filter(F.col("path").endswith(".Z")).select(F.col("path").alias("file"), unpacked(F.col("content")).alias("body"))
+    old = packed.select("file", F.posexplode(F.split("body", r"\r?\n")).alias("n", "value")).select("file", F.col("n").cast("long"), "value")
+    return parse_lines(plain.unionByName(old))
+
+
+def lzw(data: bytes) -> bytes:
+    """What a ``.Z`` file holds: codes of growing width, low bits first, in blocks of eight codes of one width; code 256 empties the table where the header says so."""
+    if data[:2] != b"\x1f\x9d":
+        raise ValueError("not a .Z file")
+    most, clears = data[2] & 31, bool(data[2] & 128)
+    first = 257 if clears else 256
+    table = [bytes([k]) for k in range(256)] + [b""] * (first - 256)
+    out, before, width, at, begun = [], b"", 9, 24, 24
+
+    def aligned(at: int) -> int:
+        """Where the next block begins: a change of width or an emptied table leaves the rest of a block unused."""
+        return begun + -(-(at - begun) // (8 * width)) * 8 * width
+
+    while at + width <= 8 * len(data):
+        code = int.from_bytes(data[at >> 3 : (at + width + 7) >> 3], "little") >> (at & 7) & ((1 << width) - 1)
+        at += width
+        if code == 256 and clears:
+            at = begun = aligned(at)
+            del table[first:]
+            before, width = b"", 9
+            continue
+        if code > len(table) or (code == len(table) and not before):
+            raise ValueError("a .Z file that is damaged")
+        word = table[code] if code < len(table) else before + before[:1]
+        out.append(word)
+        if before and len(table) < 1 << most:
+            table.append(before + word[:1])
+        before = word
+        if len(table) + 1 > 1 << width and width < most:
+            at = begun = aligned(at)
+            width += 1
+    return b"".join(out)
+
+
+def unpacked(content: Column) -> Column:
+    """Text of ``.Z`` files; they are small, and Spark has no reader for them."""
+
+    @F.pandas_udf("string")
+    def text(files: pd.Series) -> pd.Series:
+        return files.map(lambda b: lzw(bytes(b)).decode("ascii", "replace"))
+
+    return text(content)
+
+
+def parse_lines(text: DataFrame) -> DataFrame:
+    """The same from lines of text: (file, n, value), n growing within a file."""
     kept = text.filter(F.col("value").rlike(r"^(\*  ?|P)"))
     order = Window.partitionBy("file").orderBy("n")
     is_epoch = F.col("value").startswith("*")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rayscape import constants as K
 from rayscape.functions import diffraction, geodesy, planar
-from rayscape.operators import orbit, spatial
+from rayscape.operators import orbit, predict, spatial
 from rayscape.operators.observe import filter_elevation, observe
 from rayscape.sources import geo, orbits, sp3
 
@@ -156,6 +156,80 @@ def test_observe(spark):
         observe(points.filter("svid = 'J01'"), w)
 
 
+def test_two_frequencies(spark):
+    """Two measurements of one satellite are two observations with ids of their own: pairs and losses count each once."""
+    w = orbit.windows(circular(spark, ("G01",)))
+    utc = int(w.agg(F.min("mid")).first()[0]) + K.GPS_EPOCH - 18 * K.SECOND
+    points = spark.createDataFrame([(utc, "G01", 40.0, 5.0, 10.0, 50.0), (utc, "G01", 35.0, 5.0, 10.0, 50.0)], "time_ns long, svid string, Cn0DbHz double, x double, y double, z double")
+    seen = observe(points, w, low=0, high=90)
+    assert sorted(r.Cn0DbHz for r in seen.collect()) == [35, 40] and seen.select("obs_id").distinct().count() == 2
+    ray = spark.createDataFrame([("a", (527990.0, 183005.0, 0.0), (528019.0, 183005.0, 14.5), 40.0), ("b", (527990.0, 183005.0, 0.0), (528019.0, 183005.0, 14.5), 35.0)], "obs_id string, r struct<x:double,y:double,z:double>, s struct<x:double,y:double,z:double>, Cn0DbHz double")
+    pairs = predict.prepare(ray, canyon(spark)).collect()
+    assert sorted((r.obs_id, r.ss) for r in pairs) == [("a", 40), ("b", 35)]
+    one = ray.select(F.lit("same").alias("ray_id"), "r", "s")
+    once, twice = (sorted(r.fresnel for r in spatial.fresnel(x, canyon(spark)).collect()) for x in (one.limit(1), one))
+    assert twice == once * 2
+
+
+def test_old_archives(spark, tmp_path):
+    """Files of every product are read, from the best one there is, and days that are stored aren't read again."""
+    table = circular(spark, ("G01", "R10")).filter("epoch < 12")
+    sp3.write(table, f"{tmp_path}/sp3")
+    body = next((tmp_path / "sp3").glob("*/*.txt")).read_bytes()
+    (tmp_path / "files").mkdir()
+    for most in (12, 9):
+        packed = compress(body * 3, most)
+        assert sp3.lzw(packed) == body * 3
+    (tmp_path / "files" / sp3.file_name("2020042", "ultra")).write_bytes(compress(body, 16))
+    store, files = f"{tmp_path}/store", f"{tmp_path}/files"
+    with pytest.warns(UserWarning, match="2020042 have no final|2020043 have no orbits"):
+        assert orbits.update(spark, store, files, ["2020042", "2020043"]).select("svid").distinct().count() == 2
+    (tmp_path / "files" / sp3.file_name("2020042", "ultra")).write_bytes(b"not read again")
+    assert orbits.update(spark, store, files, ["2020042"]).select("svid").distinct().count() == 2
+
+
+def compress(data, most):
+    """A writer of .Z files, for the test of their reader."""
+    out, table, n, width, first, word = bytearray(b"\x1f\x9d" + bytes([0x80 | most])), {bytes([k]): k for k in range(256)}, 0, 9, 257, b""
+    bits, codes = 0, 0
+
+    def put(code):
+        nonlocal bits, n, codes
+        bits |= code << n
+        n += width
+        codes += 1
+
+    def align():
+        nonlocal n, codes
+        n += (-codes % 8) * width
+        codes = 0
+
+    free = first
+    for k in range(len(data)):
+        if word + data[k : k + 1] in table:
+            word += data[k : k + 1]
+            continue
+        put(table[word])
+        if free < 1 << most:
+            table[word + data[k : k + 1]] = free
+            free += 1
+        if free > 1 << width and width < most:
+            align()
+            width += 1
+        word = data[k : k + 1]
+    put(table[word])
+    return bytes(out) + bits.to_bytes(-(-n // 8), "little")
+
+
+def test_planes_and_collections(spark, tmp_path):
+    flat = canyon(spark)
+    deep = flat.withColumn("ring", F.transform("ring", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), F.lit(1.0).alias("z"))))
+    with pytest.warns(UserWarning, match="dropped"):
+        assert spatial.drop_z(deep).schema["ring"].dataType.elementType.names == ["x", "y"]
+    geo.write_collection(flat, geo.ring_geometry(F.col("ring")), f"{tmp_path}/c", ["building_id", "height"])
+    assert sorted(r.height for r in geo.read_map(spark, f"{tmp_path}/c").collect()) == sorted(r.height for r in flat.collect())
+
+
 def test_geojson(spark, tmp_path):
     path = tmp_path / "m.json"
     path.write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"height":7},"geometry":{"type":"Polygon","coordinates":[[[0,0],[0,2],[2,2],[2,0],[0,0]]]}},{"type":"Feature","properties":{"height":null},"geometry":{"type":"Point","coordinates":[1,2,3]}}]}')
