@@ -34,6 +34,7 @@ SMALL_WEIGHT = 0.3
 STRETCH = 1 << 20  # characters that are encoded at a time, where a text can be cut
 BLANKS = 4096  # white space in a row that is merged on its own: the encoder's pattern goes one level deeper for each character
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # white space as the encoder's pattern has it
+RUN = 1024  # pieces of one length and partition that share a join key
 BATCH_ROWS = 4096  # pieces in an Arrow batch
 
 
@@ -301,5 +302,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_colu
             where = [pa.array(made["sequence"][run] + rank - made["rank"][run]), pa.array(made["offset"][run])]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in schema.names[:-2]] + where, names=schema.names)
 
-    placed = cut.join(each.select("part", "length", "before").hint("merge"), ["part", "length"]).mapInArrow(place, schema)
+    # a partition's pieces of the full length may be most of it: runs of ranks keep every join key small
+    chunk = f"bigint(nth div {RUN})"
+    runs_of = each.select("part", "length", "before", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")).alias("chunk"))
+    placed = cut.withColumn("chunk", F.expr(chunk)).join(runs_of.hint("merge"), ["part", "length", "chunk"]).mapInArrow(place, schema)
     return placed.withColumnRenamed("__id", id_column)
