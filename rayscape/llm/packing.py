@@ -6,7 +6,9 @@ by non-negative least squares; their counts are rounded down within the supply,
 what is left is packed largest first, each sequence completed as fully as the
 remaining lengths allow, again a pattern at a time. The plan names, for every length, which run of
 its pieces goes to which run of sequences. Pieces find their place by their rank
-among the pieces of their length; no task holds more than a block of them.
+among the pieces of their length: their number among those of the partition that cut them, and how many came before in
+other partitions, of which each partition has a small table in the shared folder. So ids are read and written in place, never
+shuffled, and no task holds more than a batch of them.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from __future__ import annotations
 import base64
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +38,7 @@ SMALL_WEIGHT = 0.3
 STRETCH = 1 << 20  # characters that are encoded at a time, where a text can be cut
 BLANKS = 4096  # white space in a row that is merged on its own: the encoder's pattern goes one level deeper for each character
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # white space as the encoder's pattern has it
-RUN = 1024  # pieces of one length and partition that share a join key
+PARTS = 256  # partitions whose tables of ranks share a file
 BATCH_ROWS = 4096  # pieces in an Arrow batch
 
 
@@ -273,6 +277,35 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, id_column: s
     return rows.mapInArrow(work, schema)
 
 
+def write_ranks(each: DataFrame, folder: str, most: int) -> dict[int, str]:
+    """Writes, for every partition, how many pieces of each length come before its own; returns the files' names by number, one for PARTS partitions.
+
+    A task that is run again writes a file of another name, so none is ever half replaced.
+    """
+
+    def work(t: pa.Table) -> pa.Table:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        number = t["file"][0].as_py()
+        name = f"{number}-{uuid.uuid4().hex[:12]}"
+        before = np.zeros((PARTS, most + 1), "<i8")
+        before[t["part"].to_numpy() % PARTS, t["length"].to_numpy()] = t["before"].to_numpy()
+        with system.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(before.tobytes())
+        return pa.table({"file": pa.array([number], pa.int64()), "name": pa.array([name])})
+
+    found = each.withColumn("file", F.expr(f"part div {PARTS}")).groupBy("file").applyInArrow(work, "file bigint, name string")
+    return {r.file: r.name for r in found.collect()}
+
+
+def read_ranks(folder: str, files: dict[int, str], part: int, most: int) -> np.ndarray:
+    """A partition's row of what ``write_ranks`` wrote, by its range."""
+    system, root = fs.FileSystem.from_uri(folder)
+    size = 8 * (most + 1)
+    with system.open_input_file(f"{root}/{files[part // PARTS]}") as f:
+        return np.frombuffer(f.read_at(size, size * (part % PARTS)), "<i8")
+
+
 def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_column: str = "doc_id", text: str = "text", end_id: int = 2, most: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
     """Packs every document's tokens into sequences of at most ``most``; one row per piece with its sequence and offset.
 
@@ -295,15 +328,26 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_colu
     key = made["length"] * (1 << 44) + made["rank"]
     schema = cut.drop("part", "nth").schema.add("sequence_id", "long").add("offset", "long")
 
+    folder = scratch.path("before")
+    files = write_ranks(each, folder, most)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = -1, None
         for b in batches:
-            rank = b.column("nth").to_numpy() + b.column("before").to_numpy()
-            run = np.searchsorted(key, b.column("length").to_numpy() * (1 << 44) + rank, "right") - 1
+            if not b.num_rows:
+                continue
+            part, length, rank = b.column("part").to_numpy(), b.column("length").to_numpy(), b.column("nth").to_numpy().copy()
+            # a file holds one partition's pieces, so rows of a partition stand together
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:]):
+                if part[i] != now:
+                    now, before = part[i], read_ranks(folder, files, int(part[i]), most)
+                rank[i:j] += before[length[i:j]]
+            run = np.searchsorted(key, length * (1 << 44) + rank, "right") - 1
             where = [pa.array(made["sequence"][run] + rank - made["rank"][run]), pa.array(made["offset"][run])]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in schema.names[:-2]] + where, names=schema.names)
 
-    # a partition's pieces of the full length may be most of it: runs of ranks keep every join key small
-    chunk = f"bigint(nth div {RUN})"
-    runs_of = each.select("part", "length", "before", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")).alias("chunk"))
-    placed = cut.withColumn("chunk", F.expr(chunk)).join(runs_of.hint("merge"), ["part", "length", "chunk"]).mapInArrow(place, schema)
-    return placed.withColumnRenamed("__id", id_column)
+    with arrow_batches(spark):
+        out = scratch.save(cut.mapInArrow(place, schema), "out")
+    scratch.drop("pieces", "ranks", "before")
+    return out.withColumnRenamed("__id", id_column)

@@ -237,6 +237,15 @@ def test_packing_long_blanks(spark):
         assert ids[-1] == 2 and tok.decode(ids[:-1].tolist()) == (t or "")
 
 
+def test_packing_ranks_of_many_partitions(spark, tmp_path):
+    """Tables of ranks come back as they were written, in whichever file a partition's stands."""
+    rows = [(part, length, 1000 * part + length) for part in (0, 1, 255, 256, 700) for length in (1, 3, 8)]
+    files = packing.write_ranks(spark.createDataFrame(rows, "part int, length bigint, before bigint"), f"file://{tmp_path}/ranks", 8)
+    assert sorted(files) == [0, 1, 2]
+    for part in (0, 1, 255, 256, 700):
+        assert packing.read_ranks(f"file://{tmp_path}/ranks", files, part, 8).tolist() == [1000 * part + n if n in (1, 3, 8) else 0 for n in range(9)]
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(0)
     lengths = np.clip(rng.lognormal(6, 0.9, 20_000).astype(int), 1, 1024)
