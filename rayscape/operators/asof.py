@@ -1,13 +1,14 @@
 """As-of joins: each left row with the right row nearest in time.
 
-Time is cut into buckets a little wider than the tolerance and right rows are put into their own and its
-neighbours, which makes the join an equality of buckets; the best match per left row is then an
-aggregate with partial sums, so neither a busy second nor a long log gathers in one task.
+No pairs are made: only different times are compared, of which a stretch as long as the tolerance has so many at the most,
+however many rows share them. Time is cut into such stretches; each gets its own times, and of the one before and the one
+after the nearest right time. A running last (or first) right time along a stretch is the match, and rows follow by an
+equality join, which Spark can split. So neither a busy second nor a long log gathers in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rayscape.functions.time import floor_div
@@ -33,20 +34,26 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     fields = [c for c in right.columns if c not in by]
-    spread = {"nearest": (-1, 0, 1), "backward": (0, 1), "forward": (-1, 0)}[direction]
-    rows = right.filter(F.col(right_time).isNotNull()).select(*by, F.struct(*[quoted(c) for c in fields]).alias("__right"), F.col(right_time).alias("__u"), (F.col(order) if order else F.lit(0)).alias("__o"))
-    rows = rows.withColumn("__bucket", F.explode(F.array(*[floor_div(F.col("__u").cast("long"), width) + k for k in spread])))
-    keyed = left.withColumn("__id", F.monotonically_increasing_id()).withColumn("__bucket", floor_div(F.col(left_time).cast("long"), width))
-    gap = F.col(left_time) - F.col("__u")
-    allowed = {"nearest": F.abs(gap) <= tolerance, "backward": gap.between(0, tolerance), "forward": gap.between(-tolerance, 0)}[direction]
-    pairs = keyed.join(rows, [*by, "__bucket"]).filter(allowed)
-    # the least gap, then the earlier time, then the last by order: all within one comparison
-    best = pairs.groupBy("__id").agg(F.min_by(F.struct(F.struct(*[quoted(c) for c in left.columns]).alias("l"), F.col("__right").alias("r")), F.struct(F.abs(gap), F.col("__u"), F.lit(0) - F.col("__o"))).alias("__best"))
-    matched = best.select("__id", *[F.col("__best.l")[c].alias(c) for c in left.columns], *[F.col("__best.r")[c].alias(c) for c in fields])
-    if how == "inner":
-        return matched.drop("__id")
-    rest = keyed.join(matched.select("__id"), "__id", "left_anti").select(*[quoted(c) for c in left.columns])
-    return matched.drop("__id").unionByName(rest, allowMissingColumns=True)
+    by_cols = [quoted(c) for c in by]
+    rows = right.filter(F.col(right_time).isNotNull()).select(*by_cols, F.struct(*[quoted(c) for c in fields]).alias("__right"), F.col(right_time).cast("long").alias("__u"), (F.col(order) if order else F.lit(0)).alias("__o"))
+    # of the rows at one time only the last by order can win
+    chosen = rows.groupBy(*by_cols, "__u").agg(F.min_by("__right", F.struct(F.lit(0) - F.col("__o"))).alias("__right"))
+    keyed = left.withColumn("__t", F.col(left_time).cast("long"))
+    asked = keyed.filter("__t is not null").select(*by_cols, floor_div(F.col("__t"), width).alias("__bucket"), "__t").distinct().withColumn("__u", F.lit(None).cast("long"))
+    known = rows.select(*by_cols, floor_div(F.col("__u"), width).alias("__bucket"), "__u").distinct()
+    ends = known.groupBy(*by_cols, "__bucket").agg(F.min("__u").alias("__first"), F.max("__u").alias("__last"))
+    beside = ends.select(*by_cols, F.inline(F.array(F.struct((F.col("__bucket") - 1).alias("__bucket"), F.col("__first").alias("__u")), F.struct((F.col("__bucket") + 1).alias("__bucket"), F.col("__last").alias("__u")))))
+    times = asked.unionByName(known.unionByName(beside).withColumn("__t", F.lit(None).cast("long")))
+    along = Window.partitionBy(*by_cols, "__bucket").orderBy(F.coalesce("__t", "__u"))  # of equal times all are in the range's frame
+    before, after = F.last("__u", ignorenulls=True).over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.last("__u", ignorenulls=True).over(Window.partitionBy(*by_cols, "__bucket").orderBy(F.coalesce("__t", "__u").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    near = lambda c: F.when(F.abs(F.col("__t") - F.col(c)) <= tolerance, F.col(c))
+    found = times.withColumns({"__before": before, "__after": after}).filter("__t is not null").select(*by_cols, "__t", near("__before").alias("__before"), near("__after").alias("__after"))
+    earlier = F.col("__after").isNull() | (F.col("__t") - F.col("__before") <= F.col("__after") - F.col("__t"))
+    u = {"nearest": F.when(earlier, F.col("__before")).otherwise(F.col("__after")), "backward": F.col("__before"), "forward": F.col("__after")}[direction]
+    # F.when with an unknown condition takes the other branch, so a missing earlier time gives the later one
+    matches = found.select(*by_cols, "__t", u.alias("__u")).filter("__u is not null").join(chosen, [*by, "__u"]).select(*by_cols, "__t", "__right")
+    joined = keyed.join(matches, [*by, "__t"], "left" if how == "left" else "inner")
+    return joined.select(*[quoted(c) for c in left.columns], *[F.col("__right")[c].alias(c) for c in fields])
 
 
 def receiver_positions(features: DataFrame, fix: DataFrame, tolerance: int) -> DataFrame:

@@ -80,3 +80,32 @@ def test_asof_rejects(spark):
         asof_join(a, a, "t", "t", 1)
     with pytest.raises(ValueError):
         asof_join(a, a, "t", "t", 1, direction="sideways")
+
+
+def most_rows(spark, df):
+    """The most rows that any step of a plan made."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        todo, most = [df._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            if node.metrics().contains("numOutputRows"):
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return most
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("direction", ["nearest", "backward", "forward"])
+def test_asof_makes_no_pairs(spark, direction):
+    a = spark.range(2000).selectExpr("id as i", "id * 3 as t").union(spark.range(100).selectExpr("id + 2000 as i", "3000L as t"))
+    b = spark.range(2000).selectExpr("id as j", "(id div 2) * 5 as u")
+    found = asof_join(a, b, "t", "u", 6000, order="j", direction=direction)
+    assert most_rows(spark, found) < 20_000
+    rows = {r.i: (r.t, r.u, r.j) for r in found.collect()}
+    best = {"nearest": lambda t: min(range(0, 5000, 5), key=lambda u: (abs(t - u), u)), "backward": lambda t: min(t // 5 * 5, 4995), "forward": lambda t: -(-t // 5) * 5}[direction]
+    late = {r.i for r in a.filter("t > 4995").collect()} if direction == "forward" else set()
+    assert set(rows) == set(range(2100)) - late
+    assert all(u == best(t) and j == u // 5 * 2 + 1 for t, u, j in rows.values())
