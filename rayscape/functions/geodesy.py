@@ -262,7 +262,11 @@ def to_crs(x: Column, y: Column, z: Column, source: str, target: str) -> Point:
 
 def up(r: Point) -> Point:
     """The unit vector that points away from the ground at a geocentric place."""
-    lon, lat, _ = from_ecef(*r)
+    return up_at(*from_ecef(*r)[:2])
+
+
+def up_at(lon: Column, lat: Column) -> Point:
+    """The same at a geodetic place."""
     known = let({"lon": F.radians(lon), "lat": F.radians(lat)}, lambda lon, lat: packed((F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))))
     return tuple(known[c] for c in "xyz")
 

@@ -47,12 +47,12 @@ def expand_channels(points: DataFrame) -> DataFrame:
     return points.withColumn("svid", F.explode_outer(gnss.slots(F.col("svid"))))
 
 
-def observe(points: DataFrame, orbits: DataFrame, constellations: set[str] | None = None, crs: str = LLA, low: float = MINIMUM_ELEVATION, high: float = MAXIMUM_ELEVATION) -> DataFrame:
+def observe(points: DataFrame, orbits: DataFrame, constellations: set[str] | None = None, crs: str = LLA, low: float = MINIMUM_ELEVATION, high: float = MAXIMUM_ELEVATION, elevation: str | None = None) -> DataFrame:
     """All satellites over each receiver point, as geocentric rays, with the measurements of those that were received.
 
     ``points`` has time_ns, x, y, z and may have svid and measurement columns. Without ``constellations`` they are taken from svid; letters that
     aren't supported are left out with a warning. Each (place, time) is seen once; measurements that name one satellite twice fan out,
-    and each row has an ``obs_id`` of its own: 128 bits of place, time, satellite and the measurement's number among its like.
+    and each row has an ``obs_id`` of its own: 128 bits of place, time, satellite and the measurement's number among its like. ``elevation`` names a column for the satellite's own elevation in degrees; the end of a ray, cut near its receiver, has too few digits to tell it.
     """
     measured = "svid" in points.columns
     wanted = set(constellations or ()) or constellations_of(points)
@@ -67,15 +67,17 @@ def observe(points: DataFrame, orbits: DataFrame, constellations: set[str] | Non
     placed = placed.withColumns({"gps_ns": utc_to_gps(F.col("time_ns")), "place": F.struct("x", "y", "z")})
     sites = placed.select("gps_ns", "time_ns", "place", planar.point(x, y, z).alias("r")).dropDuplicates(["gps_ns", "place"])
     # the direction up is each site's own, so it is found once and not for every satellite
-    sites = sites.withColumn("up", planar.point(*geodesy.up(tuple(F.col(f"r.{c}") for c in "xyz"))))
+    known = geodesy.up_at(F.col("place.x"), F.col("place.y")) if geodesy.code(crs) == geodesy.code(LLA) else geodesy.up(tuple(F.col(f"r.{c}") for c in "xyz"))
+    sites = sites.withColumn("up", planar.point(*known))
     allowed = gnss.is_supported(F.col("svid")) & F.substring("svid", 1, 1).isin(*sorted(wanted))
     sats = orbit.locate(orbit.candidates(sites, orbits, allowed), orbits).filter("sv_x is not null and sv_y is not null and sv_z is not null")
     seen = sites.join(sats.select("gps_ns", "svid", planar.point(F.col("sv_x"), F.col("sv_y"), F.col("sv_z")).alias("sat")), "gps_ns")
     away, r, s = (tuple(F.col(f"{e}.{c}") for c in "xyz") for e in ("up", "r", "sat"))
     # elevation needs nothing of the measurements, so it comes before their join
     check_elevations(low, high)
-    seen = seen.filter(geodesy.elevation_over(away, r, s).between(low, high))
+    seen = seen.withColumn("__elevation", geodesy.elevation_over(away, r, s)).filter(F.col("__elevation").between(low, high))
     seen = seen.withColumn("s", planar.point(*geodesy.cut_ray(r, s, RAY_LENGTH))).drop("sat", "up")
+    seen = seen.withColumnRenamed("__elevation", elevation) if elevation else seen.drop("__elevation")
     key = ["gps_ns", "place", "svid"]
     if measured:
         seen = seen.join(numbered(expand_channels(placed).drop("time_ns", "x", "y", "z"), key), key, "left")

@@ -481,11 +481,10 @@ def observe_all(spark, sf_dir):
     seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", gnss.svid(F.get(F.array(*map(F.lit, "GRCE")), (k % 4).cast("int")), (F.floor(k / 8) + 1).cast("long")).alias("svid"))
     utc = F.lit(int(_DAY) + K.GPS_EPOCH - 18 * K.SECOND) + (F.col("c_custkey") % 90) * F.lit(60 * K.SECOND)
     points = seen.join(sites(spark, sf_dir), "c_custkey").select(utc.alias("time_ns"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("h").alias("z"), "svid", "o_orderkey")
-    found = observe(points, orbit.windows(day), {"G", "R", "E"})
+    found = observe(points, orbit.windows(day), {"G", "R", "E"}, elevation="elevation")
     if (n := found.agg(F.count("*") - F.count_distinct("obs_id")).first()[0]) != 0:
         raise AssertionError(f"{n} observations share an id")
-    r, s = _ends("r", "s")
-    return found.select("svid", *[F.round(F.col(f"r.{c}") * F.lit(1e3)).cast("long").alias(f"r{c}_mm") for c in "xz"], "o_orderkey", F.round(geodesy.elevation(r, s) * F.lit(1e5)).cast("long").alias("elevation"))
+    return found.select("svid", *[F.round(F.col(f"r.{c}") * F.lit(1e3)).cast("long").alias(f"r{c}_mm") for c in "xz"], "o_orderkey", F.round(F.col("elevation") * F.lit(1e5)).cast("long").alias("elevation"))
 
 
 # -- rays and buildings --------------------------------------------------------------

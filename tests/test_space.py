@@ -156,6 +156,22 @@ def test_observe(spark):
         observe(points.filter("svid = 'J01'"), w)
 
 
+def test_observe_gives_elevations(spark):
+    """A satellite's own elevation, which the end of its ray, a thousand metres away, tells to ten digits only."""
+    w = orbit.windows(circular(spark))
+    noon = int(w.filter("svid = 'G01'").agg(F.min("mid")).first()[0])
+    lon, lat = 5.0, 10.0
+    points = spark.createDataFrame([(noon + K.GPS_EPOCH - 18 * K.SECOND, lon, lat, 50.0)], "time_ns long, x double, y double, z double")
+    rows = observe(points, w, {"G", "R"}, low=0, high=90, elevation="elevation").collect()
+    sats = {r.svid: (r.sv_x, r.sv_y, r.sv_z) for r in orbit.locate(w.select(F.lit(noon).alias("gps_ns"), "date", "svid").distinct(), w).collect()}
+    up = (math.cos(math.radians(lat)) * math.cos(math.radians(lon)), math.cos(math.radians(lat)) * math.sin(math.radians(lon)), math.sin(math.radians(lat)))
+    assert rows
+    for r in rows:
+        d = [a - b for a, b in zip(sats[r.svid], (r.r.x, r.r.y, r.r.z))]
+        sine = sum(a * b for a, b in zip(d, up)) / math.sqrt(sum(a * a for a in d))
+        assert r.elevation == pytest.approx(math.degrees(math.asin(sine)), abs=1e-12)
+
+
 def test_two_frequencies(spark):
     """Two measurements of one satellite are two observations with ids of their own: pairs and losses count each once."""
     w = orbit.windows(circular(spark, ("G01",)))
