@@ -54,21 +54,28 @@ def fit(observations: DataFrame, buildings: DataFrame, iterations: int = 4, onli
     """Parameters of both models of each building after each iteration: ``building_id, step, model, a, b, c, d``.
 
     All observations count for every building: those that miss it are alike but for their strength, so they come as a table of strengths
-    and counts, less the building's own. A building that no ray crosses has no rows.
+    and counts, less the building's own, of which flat curves are summed by quadrature. A building that no ray crosses has no rows.
     """
     bins, values, counts, width = strengths(observations)
     middle = median_of(values, counts)
+    common = None if online else logistic.Condensed(values, counts)
 
     def per_building(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("obs_id")
         h, s = group["height"].to_numpy(float), group["ss"].to_numpy(float)
-        rest = counts.copy()
         heard = s[~np.isnan(s)]
-        np.subtract.at(rest, np.searchsorted(bins, np.floor(heard / width) if width else heard), 1)
+        own = np.searchsorted(bins, np.floor(heard / width) if width else heard)
+        start = np.array([0.8, 0.1, np.nanmedian(h), 0.2])
+        how = {"height_start": start, "ss_middle": middle if np.isfinite(middle) else 20.0}
+        if common is not None:
+            return table(group, logistic.bootstrap(h, s, None, iterations, common=common, taken=values[own], **how))
+        rest = counts.copy()
+        np.subtract.at(rest, own, 1)
         height = np.concatenate([h, np.full(len(values), np.nan)])
         strength, weight = np.concatenate([s, values]), np.concatenate([np.ones(len(h)), rest])
-        start = np.array([0.8, 0.1, np.nanmedian(h), 0.2])
-        done = logistic.bootstrap(height, strength, weight, iterations, height_start=start, ss_middle=middle if np.isfinite(middle) else 20.0, online=online)
+        return table(group, logistic.bootstrap(height, strength, weight, iterations, online=online, **how))
+
+    def table(group: pd.DataFrame, done: np.ndarray) -> pd.DataFrame:
         rows = [(int(group["building_id"].iloc[0]), k, name, *map(float, p)) for k, both in enumerate(done) for name, p in zip(("strength", "height"), both)]
         return pd.DataFrame(rows, columns=["building_id", "step", "model", "a", "b", "c", "d"])
 

@@ -159,3 +159,22 @@ def test_online_bootstrap_counts_every_observation():
     np.testing.assert_allclose(one[:, 0], every[:, 0], rtol=0.01)
     zero = L.bootstrap(np.append(height, np.nan), np.append(ss, 90.0), np.append(w, 0.0), 2, height_start=L.START, ss_middle=25.0, online=True)
     np.testing.assert_allclose(zero, one)
+
+
+def test_common_strengths_are_summed_by_few_nodes():
+    """A fit among many strengths is that over all of them, though flat curves meet a few nodes only."""
+    rng = np.random.default_rng(3)
+    values = np.unique(np.round(rng.normal(33, 6, 6000), 4))
+    counts = rng.integers(1, 30, len(values))
+    common = L.Condensed(values, counts)
+    assert common.levels and len(common.at(0.1)[1]) < 200 and len(common.at(100.0)[1]) == len(values)
+    for p in ([0.9, 0.02, 30.0, 0.1], [0.7, 0.3, 40.0, 0.01], [0.6, 1.7, 35.0, 0.3], [0.99, 20.0, 33.0, 0.2]):
+        _, z, w = common.at(p[1])
+        many, few = (L.loss(np.array(p), a, np.zeros(len(a)), b.astype(float), True) for a, b in ((values, counts), (z, w)))
+        assert few[0] == pytest.approx(many[0], rel=1e-9) and few[1] == pytest.approx(many[1], rel=1e-7, abs=1e-12)
+    own = rng.integers(0, len(values), 12)
+    ss, height, left = values[own], rng.uniform(0, 50, 12), counts.copy()
+    np.subtract.at(left, own, 1)
+    start = {"height_start": np.array([0.8, 0.1, 25.0, 0.2]), "ss_middle": 33.0}
+    plain = L.bootstrap(np.concatenate([height, np.full(len(values), np.nan)]), np.concatenate([ss, values]), np.concatenate([np.ones(12), left]), 2, **start)
+    assert L.bootstrap(height, ss, None, 2, common=common, taken=ss, **start)[:, 1] == pytest.approx(plain[:, 1], rel=1e-6)
