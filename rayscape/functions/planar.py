@@ -18,19 +18,25 @@ def crossings(ring: Column, r: Column, s: Column) -> Column:
     """
     dx, dy, dz = s["x"] - r["x"], s["y"] - r["y"], s["z"] - r["z"]
 
-    def meet(a: Column, b: Column) -> Column:
-        ex, ey = b["x"] - a["x"], b["y"] - a["y"]
-        px, py = a["x"] - r["x"], a["y"] - r["y"]
-        den = dx * ey - dy * ex
-        t, u = (px * ey - py * ex) / F.nullif(den, F.lit(0.0)), (px * dy - py * dx) / F.nullif(den, F.lit(0.0))
-        size = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-        ta, tb = (px * dx + py * dy) / size, ((b["x"] - r["x"]) * dx + (b["y"] - r["y"]) * dy) / size
+    # generated code has no part in functions of arrays: what is used more than once is bound by a step of its own
+    def side(a: Column, b: Column) -> Column:
+        from_r = {"px": a["x"] - r["x"], "py": a["y"] - r["y"], "qx": b["x"] - r["x"], "qy": b["y"] - r["y"]}
+        return F.struct(*[v.alias(k) for k, v in ({"dx": dx, "dy": dy, "ex": b["x"] - a["x"], "ey": b["y"] - a["y"]} | from_r).items()])
+
+    def meet(k: Column) -> Column:
+        over_t, over_u = k["px"] * k["ey"] - k["py"] * k["ex"], k["px"] * k["dy"] - k["py"] * k["dx"]
+        return F.struct(k.alias("k"), over_t.alias("t"), over_u.alias("u"), F.nullif(k["dx"] * k["ey"] - k["dy"] * k["ex"], F.lit(0.0)).alias("den"))
+
+    def place(m: Column) -> Column:
+        k, t, u = m["k"], m["t"] / m["den"], m["u"] / m["den"]
+        size = F.nullif(k["dx"] * k["dx"] + k["dy"] * k["dy"], F.lit(0.0))
+        ta, tb = (k["px"] * k["dx"] + k["py"] * k["dy"]) / size, (k["qx"] * k["dx"] + k["qy"] * k["dy"]) / size
         low, high = F.greatest(F.lit(0.0), F.least(ta, tb)), F.least(F.lit(1.0), F.greatest(ta, tb))
-        along = F.when((den == 0) & (px * dy - py * dx == 0) & (low <= high), F.when(dz < 0, high).otherwise(low))
-        at = F.when(t.between(0, 1) & u.between(0, 1), t).otherwise(along)
-        return F.when(at.isNotNull(), F.struct((r["z"] + at * dz).alias("z"), at.alias("t")))
+        along = F.when(m["den"].isNull() & (m["u"] == 0) & (low <= high), F.when(dz < 0, high).otherwise(low))
+        return F.when(t.between(0, 1) & u.between(0, 1), t).otherwise(along)
 
-    return F.filter(_edges(ring, meet), lambda c: c.isNotNull())
+    places = F.filter(F.transform(F.transform(_edges(ring, side), meet), place), lambda at: at.isNotNull())
+    return F.transform(places, lambda at: F.struct((r["z"] + at * dz).alias("z"), at.alias("t")))
 
 
 def lowest_crossing(ring: Column, r: Column, s: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 from rayscape.functions.fourpl import height_bounds
 from rayscape.operators import logistic
 from rayscape.operators.spatial import CELL, projected_height
+from rayscape.session import once
 
 STRENGTHS = 50_000  # different strengths of rays that miss a building, about, which a task takes one by one
 STEPS = (0.0, *(10.0**k for k in range(-6, 300, 1)))  # widths of bins, of which the least that leaves so few is taken; 0: no bins
+AT_ONCE, PLACES = 100_000, 400_000  # rays of buildings that are fitted together, about, and padded places of a step
 RESULT = "building_id bigint, step int, model string, a double, b double, c double, d double"
 
 
@@ -85,10 +89,80 @@ def fit(observations: DataFrame, buildings: DataFrame, iterations: int = 4, onli
     return pairs.repartition(tasks, "building_id").groupBy("building_id").applyInPandas(per_building, RESULT)
 
 
-def predict(buildings: DataFrame, observations: DataFrame, **how) -> DataFrame:
+def groups(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Rows that come by building, about ``least`` at a time, with all rows of each building together."""
+    kept, n, enough = [], 0, least
+    for some in batches:
+        kept.append(some)
+        n += len(some)
+        if n >= enough:
+            rows = pd.concat(kept, ignore_index=True)
+            ends = np.flatnonzero(np.diff(rows["building_id"].to_numpy())) + 1
+            if len(ends):
+                yield rows.iloc[: ends[-1]]
+                rows = rows.iloc[ends[-1] :]
+            kept, n, enough = [rows], len(rows), max(least, 2 * len(rows))  # a building of so many rows waits for as many again
+    if n:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def last_heights(observations: DataFrame, buildings: DataFrame, iterations: int = 4, cell: float = CELL) -> DataFrame:
+    """``building_id, a, b, c, d``: the last height models of ``fit``, of all buildings of a batch at once.
+
+    A strength model matters here for its labels only, and bounds tell for nearly all buildings that it labels none; the others are fitted one by one.
+    """
+    bins, values, counts, width = strengths(observations)
+    middle = median_of(values, counts)
+    common = logistic.Condensed(values, counts)
+    weak, ss_middle = logistic.Weak(common, counts, width), middle if np.isfinite(middle) else 20.0
+
+    def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in groups(batches, AT_ONCE):
+            ids, first, n = np.unique(rows["building_id"].to_numpy(), return_index=True, return_counts=True)
+            h, s = rows["height"].to_numpy(float), rows["ss"].to_numpy(float)
+            bin_at = np.searchsorted(bins, np.floor(s / width) if width else s)
+            found = np.zeros((len(ids), 4))
+            for some in alike(n):
+                at = first[some][:, None] + np.arange(n[some].max())
+                mine = at < (first[some] + n[some])[:, None]
+                at = np.where(mine, at, 0)
+                height, ss = np.where(mine, h[at], np.nan), np.where(mine, s[at], np.nan)
+                strongest = np.where(np.isnan(ss), -1, bin_at[at]).max(axis=1)
+                starts = np.tile((0.8, 0.1, 0.0, 0.2), (len(some), 1))
+                starts[:, 2] = np.nanmedian(height, axis=1)
+                found[some], sure = logistic.bootstrap_heights(height, ss, n[some], strongest, weak, starts, ss_middle, iterations)
+                for i in some[~sure]:
+                    z, own = h[first[i] : first[i] + n[i]], s[first[i] : first[i] + n[i]]
+                    start = np.array([0.8, 0.1, np.nanmedian(z), 0.2])
+                    taken = values[bin_at[first[i] : first[i] + n[i]][~np.isnan(own)]]
+                    found[i] = logistic.bootstrap(z, own, None, iterations, common=common, taken=taken, height_start=start, ss_middle=ss_middle)[-1][1]
+            yield pd.DataFrame({"building_id": ids} | dict(zip("abcd", found.T)))
+
+    pairs = prepare(observations, buildings, cell)
+    # a fit costs far more than its rows weigh, and many at once far less than one by one: a few tasks for each core, and more where there are more rays
+    tasks = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, int(counts.sum()) // 100_000)
+    dealt = pairs.repartition(tasks, "building_id").sortWithinPartitions("building_id", "obs_id").select("building_id", "height", "ss")
+    return dealt.mapInPandas(fits, "building_id bigint, a double, b double, c double, d double")
+
+
+def alike(n: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of buildings in runs of like numbers of rows, which pad little and stay below PLACES."""
+    order = np.argsort(n, kind="stable")
+    while len(order):
+        size = n[order]
+        take = max(1, int(np.searchsorted((size > np.maximum(16, 2 * size[0])) | (size * np.arange(1, len(size) + 1) > PLACES), True)))
+        yield order[:take]
+        order = order[take:]
+
+
+def predict(buildings: DataFrame, observations: DataFrame, iterations: int = 4, online: bool = False, cell: float = CELL) -> DataFrame:
     """``building_id, lower_bound, mid_point, upper_bound`` of every building; NULL for those that no ray crosses."""
-    params = fit(observations, buildings, **how).filter("model = 'height'")
-    last = params.groupBy("building_id").agg(F.max_by(F.struct("b", "c"), "step").alias("p"))
+    observations = once(observations.select("obs_id", "r", "s", "Cn0DbHz"))
+    if online or not iterations:
+        params = fit(observations, buildings, iterations, online, cell).filter("model = 'height'")
+        last = params.groupBy("building_id").agg(F.max_by(F.struct("b", "c"), "step").alias("p"))
+    else:
+        last = last_heights(observations, buildings, iterations, cell).select("building_id", F.struct("b", "c").alias("p"))
     bounds = height_bounds(F.col("p.b"), F.col("p.c"))
     return buildings.select("building_id").join(last, "building_id", "left").select("building_id", *[c.alias(k) for k, c in bounds.items()])
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,6 +33,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The same rows, computed now and once: a checkpoint, which executors of their own keep if the session has no folder for it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def build(name: str = "rayscape", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()

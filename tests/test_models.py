@@ -178,3 +178,58 @@ def test_common_strengths_are_summed_by_few_nodes():
     start = {"height_start": np.array([0.8, 0.1, 25.0, 0.2]), "ss_middle": 33.0}
     plain = L.bootstrap(np.concatenate([height, np.full(len(values), np.nan)]), np.concatenate([ss, values]), np.concatenate([np.ones(12), left]), 2, **start)
     assert L.bootstrap(height, ss, None, 2, common=common, taken=ss, **start)[:, 1] == pytest.approx(plain[:, 1], rel=1e-6)
+
+
+@pytest.mark.parametrize("decimals", [4, 0])
+def test_many_fits_are_those_of_each_alone(decimals):
+    """Height models of all buildings at once are those of the whole bootstrap; only buildings with one of the strongest rays need their strength models."""
+    rng = np.random.default_rng(5)
+    ss = np.round(rng.normal(33, 6, 9000), decimals)
+    values, counts = np.unique(ss, return_counts=True)
+    common = L.Condensed(values, counts)
+    weak = L.Weak(common, counts.astype(float), 0.0)
+    n = rng.integers(1, 20, 150)
+    height, own = rng.uniform(0, 50, (150, 19)), rng.choice(ss, (150, 19))
+    own[rng.random(own.shape) < 0.5] = np.nan
+    own[:3, 0] = values[-1], values[-3], np.nan
+    own[2] = np.nan
+    gone = np.arange(19) >= n[:, None]
+    height[gone] = own[gone] = np.nan
+    strongest = np.where(np.isnan(own), -1, np.searchsorted(values, own)).max(axis=1)
+    starts = np.tile((0.8, 0.1, 0.0, 0.2), (150, 1))
+    starts[:, 2] = np.nanmedian(height, axis=1)
+    found, sure = L.bootstrap_heights(height, own, n, strongest, weak, starts, 33.0)
+    assert not sure[0] and sure[2] and sure.mean() > 0.8
+    for i in np.flatnonzero(sure)[:60]:
+        h, s = height[i, : n[i]], own[i, : n[i]]
+        alone = L.bootstrap(h, s, None, 4, common=common, taken=s[~np.isnan(s)], height_start=starts[i], ss_middle=33.0)
+        assert not any(L.predict(a, s).any() for a, _ in alone[:3])
+        ones = [L.loss(p, h, np.zeros(n[i]), np.ones(n[i]), True)[0] for p in (found[i], alone[-1][1])]
+        assert ones[0] == pytest.approx(ones[1], rel=1e-6, abs=1e-8)
+
+
+def test_predict_is_the_last_step_of_fit(spark, monkeypatch):
+    """Buildings that are fitted together, in many batches or few, have the bounds of their own fits; one with the map's strongest rays keeps its strength model."""
+    rng = np.random.default_rng(1)
+    rows = [(i, (-20.0, 20.0 * k + 5, float(z)), (4.999, 20.0 * k + 5, float(z)), float(s)) for i, (k, z, s) in enumerate(zip(rng.integers(0, 12, 900).tolist(), rng.uniform(1, 40, 900), rng.normal(30, 5, 900)))]
+    rows += [(2000 + i, (-20.0, 245.0, float(i)), (4.999, 245.0, float(i)), 25.0 if i < 20 else 60.0) for i in range(40)]
+    obs = spark.createDataFrame(rows, "obs_id long, r struct<x:double,y:double,z:double>, s struct<x:double,y:double,z:double>, Cn0DbHz double")
+    buildings = spark.createDataFrame([(k, square(0.0, 20.0 * k), 20.0) for k in range(14)], MAP)
+    last = {r.building_id: r for r in heights.fit(obs, buildings).filter("model = 'height' and step = 3").collect()}
+    for least in (100_000, 40):
+        monkeypatch.setattr(heights, "AT_ONCE", least)
+        found = {r.building_id: r for r in predict(buildings, obs).collect()}
+        assert sorted(found) == list(range(14)) and sorted(last) == list(range(13)) and found[13].lower_bound is None
+        for k, p in last.items():
+            assert (found[k].lower_bound, found[k].upper_bound) == pytest.approx((p.c, p.c + 3 / p.b), rel=1e-4)
+
+
+def test_groups_keep_buildings_whole():
+    ids = np.repeat(np.arange(6), [1, 7, 2, 30, 1, 3])
+    rows = pd.DataFrame({"building_id": ids, "x": np.arange(len(ids))})
+    for size, least in ((1, 4), (5, 4), (100, 4), (5, 1000)):
+        parts = list(heights.groups((rows[i : i + size] for i in range(0, len(rows), size)), least))
+        assert pd.concat(parts)["x"].tolist() == rows["x"].tolist() and sum(p["building_id"].nunique() for p in parts) == 6
+    assert list(heights.groups(iter(()), 4)) == []
+    n = np.array([1, 300, 2, 2, 9000, 40, 1])
+    assert sorted(np.concatenate(list(heights.alike(n)))) == list(range(7)) and all(len(k) == 1 or n[k].max() <= max(16, 2 * n[k].min()) for k in heights.alike(n))
