@@ -21,21 +21,34 @@ def fresnel_loss(v: Column) -> Column:
     return -gain
 
 
-def fresnel_parameter(start: Column, end: Column, edge: Column) -> Column:
-    """Parameter of an edge between two ends (structs of x, y, z), with the distance from the start in x and y; NULL for an edge at the start."""
+def _size(start: Column, end: Column) -> Column:
     dx, dy = end["x"] - start["x"], end["y"] - start["y"]
-    size = F.sqrt(dx * dx + dy * dy)
-    along = ((edge["x"] - start["x"]) * dx + (edge["y"] - start["y"]) * dy) / F.nullif(size, F.lit(0.0))
-    d = F.nullif(F.greatest(F.lit(0.0), F.least(size, along)), F.lit(0.0))
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _distance(start: Column, end: Column, edge: Column, size: Column) -> Column:
+    along = ((edge["x"] - start["x"]) * (end["x"] - start["x"]) + (edge["y"] - start["y"]) * (end["y"] - start["y"])) / F.nullif(size, F.lit(0.0))
+    return F.nullif(F.greatest(F.lit(0.0), F.least(size, along)), F.lit(0.0))
+
+
+def _parameter(start: Column, end: Column, edge: Column, size: Column, d: Column) -> Column:
     straight = start["z"] + d / size * (end["z"] - start["z"])
     return (edge["z"] - straight) * F.sqrt(F.lit(2.0) / (F.lit(WAVELENGTH) * d))
 
 
+def fresnel_parameter(start: Column, end: Column, edge: Column) -> Column:
+    """Parameter of an edge between two ends (structs of x, y, z), with the distance from the start in x and y; NULL for an edge at the start."""
+    size = _size(start, end)
+    return _parameter(start, end, edge, size, _distance(start, end, edge, size))
+
+
 def _chain(nodes: Column) -> Column:
     """Losses of all nodes but the first and the last; each step's values are bound before the next one uses them."""
     inner = F.slice(nodes, 2, F.size(nodes) - 2)
     three = F.transform(inner, lambda edge, i: F.struct(F.get(nodes, i).alias("p"), F.get(nodes, i + 2).alias("q"), edge.alias("e")))
-    parameters = F.transform(three, lambda t: fresnel_parameter(t["p"], t["q"], t["e"]))
+    sized = F.transform(three, lambda t: F.struct(t.alias("t"), _size(t["p"], t["q"]).alias("size")))
+    placed = F.transform(sized, lambda k: F.struct(k["t"].alias("t"), k["size"].alias("size"), _distance(k["t"]["p"], k["t"]["q"], k["t"]["e"], k["size"]).alias("d")))
+    parameters = F.transform(placed, lambda k: _parameter(k["t"]["p"], k["t"]["q"], k["t"]["e"], k["size"], k["d"]))
     return F.transform(parameters, lambda v: F.coalesce(fresnel_loss(v), F.lit(0.0)))
 
 
